@@ -32,9 +32,7 @@ def cells(
 
     Only distinct keys are expanded into ``depth`` cells, never single events.
     """
-    placed = counts.select(
-        *group, "n", F.posexplode(sketch_buckets(F.col("key"), depth, width)).alias("i", "b")
-    )
+    placed = _placed(counts.select(*group, "key", "n"), depth, width).drop("key")
     capped = F.least(F.sum("n"), F.lit(max_value).cast("long"))
     return placed.groupBy(*group, "i", "b").agg(capped.alias("v"))
 
@@ -57,9 +55,12 @@ def estimate(
     was never counted and gets 0.
     """
     probes = keys.select(*group, "key").distinct()
-    placed = probes.select(
-        *group, "key", F.posexplode(sketch_buckets(F.col("key"), depth, width)).alias("i", "b")
-    )
-    found = placed.join(merged, [*group, "i", "b"], "left")
+    found = _placed(probes, depth, width).join(merged, [*group, "i", "b"], "left")
     lowest = F.min(F.coalesce(F.col("v"), F.lit(0)))
     return found.groupBy(*group, "key").agg(lowest.alias("estimate"))
+
+
+def _placed(rows: DataFrame, depth: int, width: int) -> DataFrame:
+    """Each row once per sketch row, with its cell. The projection shares the digest of a key."""
+    buckets = rows.withColumn("__buckets", sketch_buckets(F.col("key"), depth, width))
+    return buckets.select(*rows.columns, F.posexplode("__buckets").alias("i", "b"))

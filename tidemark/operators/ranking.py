@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil
+from math import ceil, floor, inf, nextafter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,32 +84,42 @@ def page(
     offset: int,
     limit: int,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    shape: DataFrame | None = None,
 ) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` in the order of the unique numeric ``column``.
 
     A plain ``orderBy().offset().limit()`` gathers ``offset + limit`` rows in one task. Here the
-    buckets are counted, those outside the page are dropped before any shuffle, and only the rest
-    are sorted, each in a task of its own. Adds ``position``, counted from 1 over all rows.
+    rows are counted per bucket of ``column``, the buckets the page touches are read again under a
+    range filter the source can apply, and each of them is sorted in a task of its own. ``shape``
+    gives rows that are cheaper to read than ``df`` to place the buckets by, such as ``df`` before
+    its filters. Adds ``position``, counted from 1 over all rows.
     """
-    points = split_points(df, column, rows_per_bucket)
-    bucketed = with_bucket(df, column, points)
-    # At most MAX_BUCKETS rows, so one task may run the prefix sum.
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (
-        bucketed.groupBy("__bucket")
-        .agg(F.count(F.lit(1)).alias("__size"))
-        .withColumn("__skip", F.coalesce(F.sum("__size").over(before), F.lit(0)))
-        .filter(
-            (F.col("__skip") < F.lit(offset + limit))
-            & (F.col("__skip") + F.col("__size") > F.lit(offset))
-        )
-        .select("__bucket", "__skip")
+    points = split_points(df if shape is None else shape, column, rows_per_bucket)
+    # One count per bucket reaches the driver, at most MAX_BUCKETS of them.
+    counted = with_bucket(df, column, points).groupBy("__bucket").count().collect()
+    sizes = {int(row["__bucket"]): row["count"] for row in counted}
+    skipped = 0
+    needed: dict[int, int] = {}
+    for bucket in sorted(sizes):
+        if skipped < offset + limit and skipped + sizes[bucket] > offset:
+            needed[bucket] = skipped
+        skipped += sizes[bucket]
+    if not needed:
+        return df.withColumn("position", F.lit(0).cast("long")).filter(F.lit(False))
+    first, last = min(needed), max(needed)
+    # The bounds only spare the scan; rounded outwards, they leave the choice to the buckets.
+    if first > 0:
+        df = df.filter(F.col(column) >= F.lit(floor(nextafter(points[first - 1], -inf))))
+    if last < len(points):
+        df = df.filter(F.col(column) <= F.lit(ceil(nextafter(points[last], inf))))
+    skips = df.sparkSession.createDataFrame(
+        [(float(bucket), skip) for bucket, skip in needed.items()], "__bucket double, __skip long"
     )
-    # The sizes table has one row per bucket, so MAX_BUCKETS bounds the broadcast.
-    needed = bucketed.join(F.broadcast(sizes), "__bucket")
     within = Window.partitionBy("__bucket").orderBy(column)
     return (
-        needed.withColumn("position", F.col("__skip") + F.row_number().over(within))
+        with_bucket(df, column, points)
+        .join(F.broadcast(skips), "__bucket")
+        .withColumn("position", F.col("__skip") + F.row_number().over(within))
         .filter((F.col("position") > F.lit(offset)) & (F.col("position") <= F.lit(offset + limit)))
         .drop("__bucket", "__skip")
     )

@@ -78,6 +78,28 @@ def in_range(
     return windowed.filter((sealed & inside) | (is_open & _between(now, begin, end)))
 
 
+def time_bounds(
+    begin: Moment | None,
+    end: Moment | None,
+    as_of: Moment | None,
+    label: str,
+    slide_ms: int,
+    offset_ms: int,
+) -> tuple[Column | None, Column | None]:
+    """Constant first and last event time that windows in a label range can hold."""
+    first = last = None
+    if begin is not None:
+        first = moment(begin) if label == "start" else times.later(moment(begin), -slide_ms)
+        if as_of is not None:
+            # The open window may have started before the range.
+            first = F.least(first, times.window_start(moment(as_of), slide_ms, offset_ms))
+    if end is not None:
+        last = times.later(moment(end), slide_ms) if label == "start" else moment(end)
+    if as_of is not None:
+        last = moment(as_of) if last is None else F.least(last, moment(as_of))
+    return first, last
+
+
 def select_range(
     records: DataFrame,
     begin: Moment | None = None,
@@ -91,18 +113,11 @@ def select_range(
 
     The bounds on ``ts`` are constants, so they fold into the parquet filters of the source.
     """
-    ts = F.col("ts")
-    if as_of is not None:
-        records = records.filter(ts <= moment(as_of))
-    if begin is not None:
-        first = moment(begin) if label == "start" else times.later(moment(begin), -slide_ms)
-        if as_of is not None:
-            # The open window may have started before the range.
-            first = F.least(first, times.window_start(moment(as_of), slide_ms, offset_ms))
-        records = records.filter(ts >= first)
-    if end is not None:
-        last = times.later(moment(end), slide_ms) if label == "start" else moment(end)
-        records = records.filter(ts <= last)
+    first, last = time_bounds(begin, end, as_of, label, slide_ms, offset_ms)
+    if first is not None:
+        records = records.filter(F.col("ts") >= first)
+    if last is not None:
+        records = records.filter(F.col("ts") <= last)
     return in_range(assign_windows(records, slide_ms, offset_ms), begin, end, as_of, label)
 
 

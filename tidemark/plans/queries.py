@@ -172,7 +172,7 @@ def export_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
         "img", F.when(F.col("lang") == "de", "NULL").otherwise(F.col("lang"))
     )
     ready = export.exportable(docs, "doc_id", "text", "img", "source")
-    return export.export_page(ready, *PAGE).withColumn("position", F.col("position").cast("long"))
+    return export.export_page(ready, *PAGE, ids=docs.select(F.col("doc_id").alias("id")))
 
 
 # --- windows and listings ------------------------------------------------------------------------

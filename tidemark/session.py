@@ -17,6 +17,7 @@ def tune(spark: SparkSession) -> SparkSession:
     * last-wins map building, so that a later attribute replaces an earlier one;
     * a group-limit threshold above the default top-list capacity, so that top lists are cut
       inside every map task before they are shuffled;
+    * room for a thousand sketches per task before Spark sorts the rows by sketch instead;
     * adaptive execution, for coalescing, skewed joins and rebalanced writes;
     * state in RocksDB on a cluster, where it outgrows the executor heap.
     """
@@ -24,6 +25,7 @@ def tune(spark: SparkSession) -> SparkSession:
     conf.set("spark.sql.session.timeZone", "UTC")
     conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "4096")
+    conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "1024")
     conf.set("spark.sql.adaptive.enabled", "true")
     if not is_local(spark):
         conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_STATE)

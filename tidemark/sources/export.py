@@ -45,10 +45,17 @@ def tagged_block() -> Column:
 
 
 def export_page(
-    documents: DataFrame, offset: int, limit: int, rows_per_bucket: int = ROWS_PER_BUCKET
+    documents: DataFrame,
+    offset: int,
+    limit: int,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    ids: DataFrame | None = None,
 ) -> DataFrame:
-    """One page of exportable documents in id order: ``id``, ``position``, ``block``."""
-    paged = page(documents, "id", offset, limit, rows_per_bucket)
+    """One page of exportable documents in id order: ``id``, ``position``, ``block``.
+
+    ``ids`` may give the ids of all documents, so that placing the buckets reads no content.
+    """
+    paged = page(documents, "id", offset, limit, rows_per_bucket, ids)
     return paged.select("id", "position", tagged_block().alias("block"))
 
 

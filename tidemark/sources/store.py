@@ -1,7 +1,7 @@
 """The stored windows: keys, top lists, distinct sketches, count-min cells and a catalog.
 
-Every table is parquet below one folder, partitioned by window start and by the seal (one write)
-that put the rows there:
+Every table is parquet below one folder, partitioned by the day a window starts and by the seal
+(one write) that put the rows there:
 
     keys      stream, window bounds, key, n, values
     toplist   stream, window bounds, rk, key, n
@@ -9,19 +9,23 @@ that put the rows there:
     cms       stream, window bounds, i, b, v
     catalog   stream, window bounds, n_events, n_keys   (by seal only)
 
-Partitioning by window keeps the number of folders independent of the number of streams; rows are
-sorted by stream inside the files, so a stream is found by row-group statistics. A seal writes its
+Partitioning by day keeps the number of folders independent of the number of streams and of the
+window length; rows are sorted by window and stream inside the files, so both are also found by
+row-group statistics. A seal writes its
 catalog rows last, and readers take only seals the catalog knows: a job lost half-way leaves nothing
 visible, and repeating it under the same name replaces what it wrote. A store has one writer.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.times import Moment, format_label, moment
+from tidemark.functions.times import Moment, moment
 from tidemark.operators import countmin, distinct, frequency, values
 from tidemark.operators.joins import sized_join
 from tidemark.operators.windows import in_range
@@ -37,7 +41,7 @@ from tidemark.schema import (
 _STREAM = (
     "service string, collection string, window_start timestamp, window_end timestamp, "
 )
-_PLACE = ", window string, seal string"
+_PLACE = ", day string, seal string"
 TABLES = {
     "keys": _STREAM + "key string, n bigint, values map<string,string>" + _PLACE,
     "toplist": _STREAM + "rk int, key string, n bigint" + _PLACE,
@@ -86,10 +90,18 @@ class WindowStore:
         self._write("keys", fresh, seal)
         stored = self._read("keys").filter(F.col("seal") == seal)
         counts = stored.select(*STREAM_WINDOW, "key", "n")
-        self._write("toplist", frequency.top_list(counts, self.capacity), seal)
-        self._write("distinct", distinct.distinct_sketches(counts, self.lg_k), seal)
-        cells = countmin.cells(counts, self.depth, self.width, self.max_value)
-        self._write("cms", cells, seal)
+        if counts.isEmpty():
+            return
+        derived = {
+            "toplist": frequency.top_list(counts, self.capacity),
+            "distinct": distinct.distinct_sketches(counts, self.lg_k),
+            "cms": countmin.cells(counts, self.depth, self.width, self.max_value),
+        }
+        # Independent jobs over the same stored rows: together they keep the cluster busy.
+        with ThreadPoolExecutor(len(derived)) as pool:
+            write = inheritable_thread_target(self.spark)(self._write)
+            for job in [pool.submit(write, name, rows, seal) for name, rows in derived.items()]:
+                job.result()
         entries = counts.groupBy(*STREAM_WINDOW).agg(
             F.sum("n").alias("n_events"), F.count(F.lit(1)).alias("n_keys")
         )
@@ -125,12 +137,12 @@ class WindowStore:
 
     def _range(self, name: str, begin: Moment | None, end: Moment | None, label: str) -> DataFrame:
         rows = self._read(name)
-        # Label text sorts like time, so these prune folders.
+        # Day text sorts like time, so these prune folders.
         if begin is not None and label == "start":
-            rows = rows.filter(F.col("window") >= _label(begin))
+            rows = rows.filter(F.col("day") >= _day(moment(begin)))
         if end is not None:
-            rows = rows.filter(F.col("window") <= _label(end))
-        rows = in_range(rows.drop("window"), begin, end, None, label)
+            rows = rows.filter(F.col("day") <= _day(moment(end)))
+        rows = in_range(rows.drop("day"), begin, end, None, label)
         committed = self.catalog().select("seal").distinct()
         return sized_join(rows, committed, ["seal"], "left_semi").drop("seal")
 
@@ -148,10 +160,10 @@ class WindowStore:
         """
         placed = rows.withColumn("seal", F.lit(seal))
         if name != "catalog":
-            placed = placed.withColumn("window", format_label(F.col("window_start")))
+            placed = placed.withColumn("day", _day(F.col("window_start")))
         columns = T.StructType.fromDDL(TABLES[name]).names
         places = _places(name)
-        order = [*places, *[c for c in ("service", "collection", "rk", "key") if c in columns]]
+        order = [*places, *[c for c in ("window_start", "service", "collection", "rk", "key") if c in columns]]
         (
             placed.select(*columns)
             .hint("rebalance", *places)
@@ -164,9 +176,9 @@ class WindowStore:
 
 
 def _places(name: str) -> list[str]:
-    return ["seal"] if name == "catalog" else ["window", "seal"]
+    return ["seal"] if name == "catalog" else ["day", "seal"]
 
 
-def _label(value: Moment) -> Column:
-    return format_label(moment(value))
+def _day(ts: Column) -> Column:
+    return F.date_format(ts, "yyyyMMdd")
 
