@@ -10,7 +10,12 @@ from tidemark.sources.store import WindowStore
 from tidemark.streaming import labels as label_stream
 from tidemark.streaming import windows as window_stream
 
-START = format_label(F.col("window_start"))
+
+
+def start():
+    return format_label(F.col("window_start"))
+
+
 DAYS = [
     [("a", "2013-05-09 01:00:00", {"v": "1"}), ("a", "2013-05-09 02:00:00", {"v": "2"})],
     [("b", "2013-05-10 01:00:00", None), ("a", "2013-05-10 02:00:00", {"v": "3"})],
@@ -43,7 +48,7 @@ def test_stream_equals_batch(spark, files):
     drain(spark, window_stream.seal_windows(source(spark, files), store, "log"))
     batch = windows.assign_windows(spark.read.schema(RECORD).parquet(files))
     whole = values.key_rollup(batch)
-    sealed = rows(store.catalog(), START)
+    sealed = rows(store.catalog(), start())
     assert sealed == [("20130509T000000",), ("20130510T000000",)]
     in_store = rows(store.keys(), "window_start", "key", "n")
     assert set(in_store) < set(rows(whole, "window_start", "key", "n"))
@@ -62,7 +67,7 @@ def test_a_restarted_stream_goes_on(spark, files):
     more = [("d", "2013-05-12 01:00:00", None), ("d", "2013-05-13 01:00:00", None)]
     records(spark, more).coalesce(1).write.mode("append").parquet(files)
     drain(spark, window_stream.seal_windows(source(spark, files), store, "log"), checkpoint)
-    days = rows(store.catalog(), START)
+    days = rows(store.catalog(), start())
     assert [day for (day,) in days] == [f"201305{d:02}T000000" for d in (9, 10, 11, 12)]
 
 
@@ -108,7 +113,7 @@ def test_each_setting_has_its_own_windows(spark, files):
     found = {
         tuple(row)
         for each in stores.values()
-        for row in each.catalog().select("collection", START).collect()
+        for row in each.catalog().select("collection", start()).collect()
     }
     assert found == {
         ("hourly", "20130509T010000"),
