@@ -19,9 +19,11 @@ KMV_HASH_BITS = 60
 def canonical_key(key: Column) -> Column:
     """The 128-bit identity of a key as 32 lower-case hex digits.
 
-    A key that is such a digest stands for itself whatever its case; any other key is hashed.
+    A key that is such a digest stands for itself whatever its case; any other key is hashed. The
+    length check spares most keys the pattern.
     """
-    return F.when(key.rlike(HEX_DIGEST), F.lower(key)).otherwise(F.md5(key))
+    is_digest = (F.octet_length(key) == 32) & key.rlike(HEX_DIGEST)
+    return F.when(is_digest, F.lower(key)).otherwise(F.md5(key))
 
 
 def hex_digest(number: Column) -> Column:

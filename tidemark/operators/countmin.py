@@ -61,6 +61,10 @@ def estimate(
 
 
 def _placed(rows: DataFrame, depth: int, width: int) -> DataFrame:
-    """Each row once per sketch row, with its cell. The projection shares the digest of a key."""
+    """Each row once per sketch row, with its cell. The projection shares the digest of a key.
+
+    The arrays are never empty, so the outer form changes no result; it keeps Spark from deriving
+    an is-not-empty filter and hashing every record below the aggregation to evaluate it.
+    """
     buckets = rows.withColumn("__buckets", sketch_buckets(F.col("key"), depth, width))
-    return buckets.select(*rows.columns, F.posexplode("__buckets").alias("i", "b"))
+    return buckets.select(*rows.columns, F.posexplode_outer("__buckets").alias("i", "b"))

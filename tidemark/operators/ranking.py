@@ -86,43 +86,48 @@ def page(
     rows_per_bucket: int = ROWS_PER_BUCKET,
     shape: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` in the order of the unique numeric ``column``.
+    """Rows ``offset + 1`` to ``offset + limit`` in the order of the unique numeric ``column``.
 
     A plain ``orderBy().offset().limit()`` gathers ``offset + limit`` rows in one task. Here the
-    rows are counted per bucket of ``column``, the buckets the page touches are read again under a
-    range filter the source can apply, and each of them is sorted in a task of its own. ``shape``
-    gives rows that are cheaper to read than ``df`` to place the buckets by, such as ``df`` before
-    its filters. Adds ``position``, counted from 1 over all rows.
+    values are counted per bucket, the two buckets in which the page begins and ends are ranked to
+    find its first and last value, and the page is a range filter the source can apply: whole rows
+    are neither sorted nor shuffled. ``shape`` gives rows that are cheaper to read than ``df`` to
+    place the buckets by, such as ``df`` before its filters.
     """
     points = split_points(df if shape is None else shape, column, rows_per_bucket)
     # One count per bucket reaches the driver, at most MAX_BUCKETS of them.
-    counted = with_bucket(df, column, points).groupBy("__bucket").count().collect()
+    counted = with_bucket(df.select(column), column, points).groupBy("__bucket").count().collect()
     sizes = {int(row["__bucket"]): row["count"] for row in counted}
+    last = min(offset + limit, sum(sizes.values()))
+    if last <= offset:
+        return df.filter(F.lit(False))
+    low = _value_at(df, column, points, sizes, offset + 1)
+    high = _value_at(df, column, points, sizes, last)
+    return df.filter(F.col(column).between(F.lit(low), F.lit(high)))
+
+
+def _value_at(
+    df: DataFrame, column: str, points: Sequence[float], sizes: dict[int, int], position: int
+) -> int | float:
+    """The value at a position, counted from 1, found by ranking the one bucket that holds it."""
     skipped = 0
-    needed: dict[int, int] = {}
     for bucket in sorted(sizes):
-        if skipped < offset + limit and skipped + sizes[bucket] > offset:
-            needed[bucket] = skipped
+        if skipped + sizes[bucket] >= position:
+            break
         skipped += sizes[bucket]
-    if not needed:
-        return df.withColumn("position", F.lit(0).cast("long")).filter(F.lit(False))
-    first, last = min(needed), max(needed)
-    # The bounds only spare the scan; rounded outwards, they leave the choice to the buckets.
-    if first > 0:
-        df = df.filter(F.col(column) >= F.lit(floor(nextafter(points[first - 1], -inf))))
-    if last < len(points):
-        df = df.filter(F.col(column) <= F.lit(ceil(nextafter(points[last], inf))))
-    skips = df.sparkSession.createDataFrame(
-        [(float(bucket), skip) for bucket, skip in needed.items()], "__bucket double, __skip long"
-    )
+    values = df.select(column)
+    # The bounds only spare the scan; rounded outwards, they leave the choice to the bucket.
+    if bucket > 0:
+        values = values.filter(F.col(column) >= F.lit(floor(nextafter(points[bucket - 1], -inf))))
+    if bucket < len(points):
+        values = values.filter(F.col(column) <= F.lit(ceil(nextafter(points[bucket], inf))))
     within = Window.partitionBy("__bucket").orderBy(column)
-    return (
-        with_bucket(df, column, points)
-        .join(F.broadcast(skips), "__bucket")
-        .withColumn("position", F.col("__skip") + F.row_number().over(within))
-        .filter((F.col("position") > F.lit(offset)) & (F.col("position") <= F.lit(offset + limit)))
-        .drop("__bucket", "__skip")
+    ranked = (
+        with_bucket(values, column, points)
+        .filter(F.col("__bucket") == bucket)
+        .withColumn("__rank", F.row_number().over(within))
     )
+    return ranked.filter(F.col("__rank") == position - skipped).first()[column]
 
 
 def running_max(

@@ -188,7 +188,7 @@ FROM events WHERE ts >= {_time(q.IMPORT_SINCE)} AND value > 0""",
 SELECT lang AS collection, source AS label_name, CAST(sum(n_chars) AS BIGINT) AS hit_docs_num
 FROM documents GROUP BY ALL""",
         "export_tagged": f"""
-SELECT id, position, block FROM (
+SELECT id, block FROM (
     SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS position,
            '<DOCID>' || doc_id || chr(10) || '<Content>' || text || chr(10) || '<Img>' || img
            || chr(10) || '<ShareSourceName>' || source AS block

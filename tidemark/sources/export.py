@@ -51,15 +51,15 @@ def export_page(
     rows_per_bucket: int = ROWS_PER_BUCKET,
     ids: DataFrame | None = None,
 ) -> DataFrame:
-    """One page of exportable documents in id order: ``id``, ``position``, ``block``.
+    """One page, by id order, of exportable documents: ``id``, ``block``.
 
     ``ids`` may give the ids of all documents, so that placing the buckets reads no content.
     """
     paged = page(documents, "id", offset, limit, rows_per_bucket, ids)
-    return paged.select("id", "position", tagged_block().alias("block"))
+    return paged.select("id", tagged_block().alias("block"))
 
 
 def write_export(page_rows: DataFrame, path: str) -> None:
     """Write the blocks as text files that follow each other in id order."""
-    ordered = page_rows.repartitionByRange("position").sortWithinPartitions("position")
+    ordered = page_rows.repartitionByRange("id").sortWithinPartitions("id")
     ordered.select("block").write.mode("overwrite").text(path)

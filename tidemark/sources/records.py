@@ -53,8 +53,12 @@ def token_records(
     collection: str | Column,
     ts: str | Column | Moment | None = None,
 ) -> DataFrame:
-    """Every whitespace-separated token of a text as the key of an event."""
-    tokens = df.withColumn("__token", F.explode(F.split(F.col(text), WHITESPACE)))
+    """Every whitespace-separated token of a text as the key of an event.
+
+    The outer form spares a derived is-not-empty filter, which would split each text twice; rows
+    without tokens are dropped with the empty ones.
+    """
+    tokens = df.withColumn("__token", F.explode_outer(F.split(F.col(text), WHITESPACE)))
     return log_records(tokens.filter(F.col("__token") != ""), service, collection, "__token", ts)
 
 
