@@ -109,3 +109,30 @@ def test_the_present_defaults_to_the_clock(spark):
     service = LogAnalytics(spark, fresh_folder(spark, "now"), slide_ms=3_600_000)
     assert service.current_top_keys("s", "c", 5).collect() == []
     service.seal()
+
+
+def test_sealed_history_is_not_read_again(spark):
+    service = LogAnalytics(spark, fresh_folder(spark, "history"), depth=1, width=16)
+    days = [(str(d), f"2013-05-{d:02} 10:00:00", None) for d in range(1, 10)]
+    service.insert(records(spark, days))
+    service.seal("20130508T000000")
+    # Day 7 ends where the seal stopped; the slide before it is still looked at, nothing earlier.
+    assert rows(service._pending(), "key") == [("7",), ("8",), ("9",)]
+    # A late insert is looked at whatever its day: its window was never stored for that stream.
+    service.insert(records(spark, [("x", "2013-05-02", None)], collection="late"))
+    assert ("x",) in rows(service._pending(), "key")
+    service.seal("20130508T000000")
+    service.seal("20130509T000000")
+    assert rows(service.collections("s")) == [("c",), ("late",)]
+    assert [r[0] for r in service.windows("s", "c").collect()] == [
+        f"2013050{d}T000000" for d in range(1, 9)
+    ]
+    assert rows(service.top_keys("s", "c", "20130501T000000", "20130531T000000", 20, "20130510T000000"),
+                "key") == [(str(d),) for d in range(1, 10)]
+
+
+def test_a_repeated_insert_replaces_itself(spark):
+    service = LogAnalytics(spark, fresh_folder(spark, "again"), depth=1, width=16)
+    for _ in range(2):
+        service.insert(records(spark, [("a", "2013-05-09", None)]), batch=1)
+    assert service.records().count() == 1

@@ -68,11 +68,16 @@ def test_sealed_windows_are_never_changed(store, daily):
     assert rows(store.keys(DAY2, DAY2), "key", "n") == [("a", 2), ("d", 2)]
 
 
-def test_a_repeated_seal_replaces_itself(store, daily):
+def test_a_completed_seal_is_left_as_it_is(spark, store, daily):
     store.seal_records(daily, "one")
     before = stored(store)
     store.seal_records(daily, "one")
     assert stored(store) == before
+    late = records(spark, [("z", "2013-05-09", None)], collection="late")
+    store.seal_records(windows.assign_windows(daily.select(*late.columns).unionByName(late)), "one")
+    assert stored(store) == before
+    store.seal_records(windows.assign_windows(late), "two")
+    assert len(rows(store.keys(), "key")) == len(before["keys"]) + 1
 
 
 @pytest.mark.parametrize("lost", ["toplist", "cms", "catalog"])

@@ -3,24 +3,36 @@
 Questions take a service, mostly a collection, and label ranges; they return DataFrames. Sealed
 windows come from the store, windows not yet sealed from the record log. ``as_of`` is the moment
 taken as the present, by default the wall clock.
+
+The log is partitioned by day and insert, and every seal notes how far it got: later seals and
+questions read only the days and inserts beyond that, never the records of sealed history. One
+driver inserts and seals.
 """
 
 from __future__ import annotations
 
+import time
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from tidemark.functions import times
 from tidemark.functions.attributes import attribute
-from tidemark.functions.times import LABEL_STRPTIME, Moment, moment, window_start
+from tidemark.functions.times import LABEL_STRPTIME, Moment, moment
 from tidemark.operators import distinct, frequency, values, windows
 from tidemark.schema import DAY_MS, RECORD
 from tidemark.session import tune
 from tidemark.sources.labelstore import LabelStore
 from tidemark.sources.store import WindowStore
 
+_LOG = StructType(
+    [*RECORD.fields, StructField("day", StringType()), StructField("batch", LongType())]
+)
+_PROGRESS = "as_of timestamp, batch bigint"
+_FAR = "99991231T000000"
+
 
 class LogAnalytics:
     """Windowed analytics over the records kept below ``path``."""
@@ -41,8 +53,12 @@ class LogAnalytics:
         self.label = label
         self.store = WindowStore(spark, f"{self.path}/windows", **store_options)
         self.label_store = LabelStore(spark, self.path)
-        empty = spark.createDataFrame([], RECORD).withColumn("day", F.lit(""))
-        empty.write.mode("ignore").partitionBy("day").parquet(self._log_path)
+        for path, schema, places in (
+            (self._log_path, _LOG, ["day", "batch"]),
+            (self._progress_path, _PROGRESS, ["batch"]),
+        ):
+            empty = spark.createDataFrame([], schema).write.mode("ignore")
+            empty.partitionBy(*places).parquet(path)
 
     # --- records and sealing ---------------------------------------------------------------------
 
@@ -50,27 +66,65 @@ class LogAnalytics:
     def _log_path(self) -> str:
         return f"{self.path}/log"
 
-    def insert(self, records: DataFrame) -> None:
-        """Append log records, with or without attributes."""
-        dated = records.select(*RECORD.names).withColumn("day", F.date_format("ts", "yyyyMMdd"))
-        placed = dated.hint("rebalance", "day")
-        placed.write.mode("append").partitionBy("day").parquet(self._log_path)
+    @property
+    def _progress_path(self) -> str:
+        return f"{self.path}/progress"
+
+    def insert(self, records: DataFrame, batch: int | None = None) -> None:
+        """Append log records, with or without attributes.
+
+        Inserting again under the same batch number replaces the records of that batch.
+        """
+        number = _clock() if batch is None else batch
+        placed = records.select(*RECORD.names).withColumns(
+            {"day": F.date_format("ts", "yyyyMMdd"), "batch": F.lit(number).cast("long")}
+        )
+        (
+            placed.hint("rebalance", "day")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("day", "batch")
+            .parquet(self._log_path)
+        )
 
     def records(self) -> DataFrame:
-        stored = StructType([*RECORD.fields, StructField("day", StringType())])
-        return self.spark.read.schema(stored).parquet(self._log_path)
+        """The record log."""
+        return self.spark.read.schema(_LOG).parquet(self._log_path)
 
     def seal(self, as_of: Moment | None = None, name: str | None = None) -> None:
         """Store all windows that are over and not stored yet."""
         as_of = _now(as_of)
-        windowed = windows.assign_windows(self._log(), self.slide_ms, self.offset_ms)
         named = as_of if isinstance(as_of, str) else as_of.strftime(LABEL_STRPTIME)
-        self.store.seal_records(self.store.unsealed(windowed), name or f"until-{named}", as_of)
+        self._seal_pending(name or f"until-{named}-{_clock()}", as_of)
 
-    def close(self, name: str = "close") -> None:
+    def close(self, name: str | None = None) -> None:
         """Store everything, open windows included."""
-        windowed = windows.assign_windows(self._log(), self.slide_ms, self.offset_ms)
-        self.store.seal_records(self.store.unsealed(windowed), name)
+        self._seal_pending(name or f"close-{_clock()}", None)
+
+    def _seal_pending(self, name: str, as_of: Moment | None) -> None:
+        batch = _clock()
+        windowed = windows.assign_windows(self._pending(), self.slide_ms, self.offset_ms)
+        self.store.seal_records(self.store.unsealed(windowed), name, as_of)
+        reached = moment(_FAR if as_of is None else as_of)
+        progress = self.spark.range(1).select(
+            reached.alias("as_of"), F.lit(batch).cast("long").alias("batch")
+        )
+        progress.write.mode("append").partitionBy("batch").parquet(self._progress_path)
+
+    def _pending(self) -> DataFrame:
+        """Logged records that the last seal has not covered, by day and insert."""
+        log = self.records()
+        noted = self.spark.read.schema(_PROGRESS).parquet(self._progress_path)
+        last = noted.agg(F.max(F.struct("as_of", "batch")).alias("last")).select(
+            F.date_format(times.later(F.col("last.as_of"), -self.slide_ms), "yyyyMMdd").alias("day"),
+            F.col("last.batch").alias("batch"),
+        )
+        reached = last.first()
+        if reached["day"] is not None:
+            log = log.filter(
+                (F.col("day") >= F.lit(reached["day"])) | (F.col("batch") > F.lit(reached["batch"]))
+            )
+        return log.select(*RECORD.names)
 
     # --- frequent keys ---------------------------------------------------------------------------
 
@@ -215,28 +269,14 @@ class LogAnalytics:
 
     # --- parts -----------------------------------------------------------------------------------
 
-    def _log(
-        self,
-        service: str | None = None,
-        collection: str | None = None,
-        first: Column | None = None,
-        last: Column | None = None,
-    ) -> DataFrame:
-        """Logged records of a service or stream; the time bounds prune day folders."""
-        log = self.records()
-        if first is not None:
-            log = log.filter(F.col("day") >= F.date_format(first, "yyyyMMdd"))
-        if last is not None:
-            log = log.filter(F.col("day") <= F.date_format(last, "yyyyMMdd"))
-        log = log.drop("day")
-        return log if service is None else windows.of_stream(log, service, collection)
-
     def _open(self, service: str, collection: str, as_of: Moment | None) -> DataFrame:
         as_of = _now(as_of)
         now = moment(as_of)
-        start = window_start(now, self.slide_ms, self.offset_ms)
-        log = self._log(service, collection, start, now)
-        return windows.open_window(log, as_of, self.slide_ms, self.offset_ms)
+        start = times.window_start(now, self.slide_ms, self.offset_ms)
+        day = F.col("day")
+        log = self.records().filter(day.between(_day(start), _day(now)))
+        stream = windows.of_stream(log.select(*RECORD.names), service, collection)
+        return windows.open_window(stream, as_of, self.slide_ms, self.offset_ms)
 
     def _live(
         self,
@@ -247,10 +287,11 @@ class LogAnalytics:
         as_of: Moment | None,
     ) -> DataFrame:
         """Records of windows in the range that no seal has stored yet."""
-        place = (begin, end, _now(as_of), self.label, self.slide_ms, self.offset_ms)
-        first, last = windows.time_bounds(*place)
-        log = self._log(service, collection, first, last)
-        return self.store.unsealed(windows.select_range(log, *place))
+        pending = windows.of_stream(self._pending(), service, collection)
+        chosen = windows.select_range(
+            pending, begin, end, _now(as_of), self.label, self.slide_ms, self.offset_ms
+        )
+        return self.store.unsealed(chosen)
 
     def _stored(
         self,
@@ -263,5 +304,13 @@ class LogAnalytics:
         return windows.of_stream(read(begin, end, self.label), service, collection)
 
 
+def _clock() -> int:
+    return time.time_ns() // 1000
+
+
+def _day(ts: Column) -> Column:
+    return F.date_format(ts, "yyyyMMdd")
+
+
 def _now(as_of: Moment | None) -> Moment:
     return datetime.now(timezone.utc).replace(tzinfo=None) if as_of is None else as_of

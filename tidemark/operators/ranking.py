@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import sized_join
+from tidemark.session import written
 
 ROWS_PER_BUCKET = 4_000_000
 MAX_BUCKETS = 10_000
@@ -160,6 +161,8 @@ def running_max(
         )
         .select(*slices, "__carried")
     )
+    # Sized and joined: two reads of what took a scan of all rows.
+    carried = written(carried, "carried")
     within = Window.partitionBy(*slices).orderBy(order)
     rows = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (

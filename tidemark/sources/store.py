@@ -13,7 +13,7 @@ Partitioning by day keeps the number of folders independent of the number of str
 window length; rows are sorted by window and stream inside the files, so both are also found by
 row-group statistics. A seal writes its
 catalog rows last, and readers take only seals the catalog knows: a job lost half-way leaves nothing
-visible, and repeating it under the same name replaces what it wrote. A store has one writer.
+visible, and repeating it under the same name replaces what it left. A store has one writer.
 """
 
 from __future__ import annotations
@@ -78,16 +78,12 @@ class WindowStore:
     def seal(self, key_rows: DataFrame, seal: str) -> None:
         """Store the windows of ``key_rows`` (see :func:`values.key_rollup`) not yet in the store.
 
-        ``key_rows`` is evaluated once. All other tables come from the stored rows.
+        ``key_rows`` is evaluated once. All other tables come from the stored rows. A seal that was
+        completed before is left as it is.
         """
-        catalog = self.catalog().filter(F.col("seal") != seal)
-        fresh = sized_join(
-            key_rows.select(*STREAM_WINDOW, "key", "n", "values"),
-            catalog.select(*STREAM_WINDOW),
-            STREAM_WINDOW,
-            "left_anti",
-        )
-        self._write("keys", fresh, seal)
+        if not self.catalog().filter(F.col("seal") == seal).isEmpty():
+            return
+        self._write("keys", self.unsealed(key_rows), seal)
         stored = self._read("keys").filter(F.col("seal") == seal)
         counts = stored.select(*STREAM_WINDOW, "key", "n")
         if counts.isEmpty():
@@ -131,7 +127,7 @@ class WindowStore:
         return self._range("cms", begin, end, label)
 
     def unsealed(self, windowed: DataFrame) -> DataFrame:
-        """Records of windows the store does not have."""
+        """Rows of windows the store does not have."""
         sealed = self.catalog().select(*STREAM_WINDOW)
         return sized_join(windowed, sealed, STREAM_WINDOW, "left_anti")
 
@@ -153,7 +149,7 @@ class WindowStore:
         return self.spark.read.schema(TABLES[name]).parquet(self._folder(name))
 
     def _write(self, name: str, rows: DataFrame, seal: str) -> None:
-        """Replace what this seal wrote before, in files that follow stream order.
+        """Replace what a lost attempt of this seal wrote, in files that follow stream order.
 
         The rebalance hint lets adaptive execution merge small partitions and split large ones, so a
         window with a third of the rows is not written by one task.

@@ -13,6 +13,8 @@ from tidemark.operators.windows import assign_windows, with_config
 from tidemark.schema import DAY_MS, STREAM, STREAM_WINDOW
 from tidemark.sources.store import WindowStore
 
+MAX_SETTINGS = 64
+
 
 def windowed_keys(
     stream: DataFrame, slide_ms: int = DAY_MS, offset_ms: int = 0, delay: str = "0 seconds"
@@ -70,8 +72,8 @@ def seal_configured_windows(
 ) -> list[DataStreamWriter]:
     """One writer per distinct slide length and start time, each for the streams that use it.
 
-    ``store`` gives the store of a setting, since a store has one writer. The settings in use are
-    few whatever the number of streams; streams without their own use the default.
+    ``store`` gives the store of a setting, since a store has one writer. Streams without settings
+    use the default. More than ``MAX_SETTINGS`` distinct settings are refused.
     """
     resolved = with_config(stream, config)
     settings = {
@@ -79,8 +81,10 @@ def seal_configured_windows(
         for row in with_config(config.select(*STREAM).distinct(), config)
         .select("slide_length_ms", "start_time_ms")
         .distinct()
-        .collect()
+        .take(MAX_SETTINGS + 1)
     }
+    if len(settings) > MAX_SETTINGS:
+        raise ValueError(f"more than {MAX_SETTINGS} different window settings")
     fallback = with_config(config.sparkSession.createDataFrame([("", "")], STREAM), config).first()
     settings.add((fallback["slide_length_ms"], fallback["start_time_ms"]))
     writers = []
