@@ -2,6 +2,7 @@ import pytest
 
 from tests.helpers import records, rows
 from tidemark import LogAnalytics
+from tidemark.schema import STREAM_CONFIG
 from tidemark.session import fresh_folder
 
 DAY1, DAY2, DAY3 = "20130509T000000", "20130510T000000", "20130511T000000"
@@ -136,3 +137,34 @@ def test_a_repeated_insert_replaces_itself(spark):
     for _ in range(2):
         service.insert(records(spark, [("a", "2013-05-09", None)]), batch=1)
     assert service.records().count() == 1
+
+
+def test_streams_with_their_own_settings(spark):
+    config = spark.createDataFrame(
+        [("s", "hourly", 0, 3_600_000, 64, 2, 1)], STREAM_CONFIG
+    )
+    service = LogAnalytics(spark, fresh_folder(spark, "config"), config=config, depth=1, width=16)
+    hours = [(k, f"2013-05-09 {h:02}:30:00", {"v": k}) for h in (1, 2) for k in "aaab"]
+    service.insert(records(spark, hours, collection="hourly"))
+    service.insert(records(spark, hours))
+    service.seal("20130509T020000")
+    ask = lambda c, b, e, **o: [
+        tuple(r) for r in service.top_keys("s", c, b, e, 5, "20130509T024000", **o).collect()
+    ]
+    assert [r[0] for r in service.windows("s", "hourly").collect()] == ["20130509T010000"]
+    assert service.windows("s", "c").collect() == []
+    assert ask("hourly", "20130509T010000", "20130509T010000") == [("a", 3), ("b", 1)]
+    # The stored top list holds one entry, the sketch cells stop at 2.
+    assert ask("hourly", "20130509T010000", "20130509T010000", merge="truncated") == [("a", 3)]
+    assert service.store.cells().agg({"v": "max"}).first()[0] == 2
+    # The whole day is one open window for the other stream, and the hour for this one.
+    assert ask("c", DAY1, DAY2) == [("a", 6), ("b", 2)]
+    current = service.current_top_keys("s", "hourly", 5, "20130509T024000").collect()
+    assert [tuple(r) for r in current] == [("a", 3), ("b", 1)]
+    everything = service.all_collections("s", DAY1, "20130509T024000")
+    assert rows(everything, "collection", "key", "n") == [
+        ("c", "a", 6),
+        ("c", "b", 2),
+        ("hourly", "a", 6),
+        ("hourly", "b", 2),
+    ]

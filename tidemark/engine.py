@@ -22,7 +22,7 @@ from tidemark.functions import times
 from tidemark.functions.attributes import attribute
 from tidemark.functions.times import LABEL_STRPTIME, Moment, moment
 from tidemark.operators import distinct, frequency, values, windows
-from tidemark.schema import DAY_MS, RECORD
+from tidemark.schema import DAY_MS, RECORD, STREAM
 from tidemark.session import tune
 from tidemark.sources.labelstore import LabelStore
 from tidemark.sources.store import WindowStore
@@ -35,7 +35,11 @@ _FAR = "99991231T000000"
 
 
 class LogAnalytics:
-    """Windowed analytics over the records kept below ``path``."""
+    """Windowed analytics over the records kept below ``path``.
+
+    ``config`` gives streams their own settings (see ``STREAM_CONFIG``); the slide length and offset
+    are for streams without.
+    """
 
     def __init__(
         self,
@@ -44,14 +48,19 @@ class LogAnalytics:
         slide_ms: int = DAY_MS,
         offset_ms: int = 0,
         label: str = "start",
+        config: DataFrame | None = None,
         **store_options,
     ):
         self.spark = tune(spark)
         self.path = path.rstrip("/")
-        self.slide_ms = slide_ms
-        self.offset_ms = offset_ms
+        self.defaults = {"start_time_ms": offset_ms, "slide_length_ms": slide_ms}
         self.label = label
-        self.store = WindowStore(spark, f"{self.path}/windows", **store_options)
+        self.config = config
+        self.longest_ms = slide_ms
+        if config is not None:
+            longest = config.agg(F.max("slide_length_ms")).first()[0]
+            self.longest_ms = max(longest or 0, slide_ms)
+        self.store = WindowStore(spark, f"{self.path}/windows", config=config, **store_options)
         self.label_store = LabelStore(spark, self.path)
         for path, schema, places in (
             (self._log_path, _LOG, ["day", "batch"]),
@@ -103,7 +112,7 @@ class LogAnalytics:
 
     def _seal_pending(self, name: str, as_of: Moment | None) -> None:
         batch = _clock()
-        windowed = windows.assign_windows(self._pending(), self.slide_ms, self.offset_ms)
+        windowed = self._windowed(self._pending())
         self.store.seal_records(self.store.unsealed(windowed), name, as_of)
         reached = moment(_FAR if as_of is None else as_of)
         progress = self.spark.range(1).select(
@@ -116,7 +125,7 @@ class LogAnalytics:
         log = self.records()
         noted = self.spark.read.schema(_PROGRESS).parquet(self._progress_path)
         last = noted.agg(F.max(F.struct("as_of", "batch")).alias("last")).select(
-            F.date_format(times.later(F.col("last.as_of"), -self.slide_ms), "yyyyMMdd").alias("day"),
+            F.date_format(times.later(F.col("last.as_of"), -self.longest_ms), "yyyyMMdd").alias("day"),
             F.col("last.batch").alias("batch"),
         )
         reached = last.first()
@@ -269,28 +278,45 @@ class LogAnalytics:
 
     # --- parts -----------------------------------------------------------------------------------
 
+    def _windowed(self, records: DataFrame) -> DataFrame:
+        if self.config is None:
+            return windows.assign_windows(
+                records, self.defaults["slide_length_ms"], self.defaults["start_time_ms"]
+            )
+        placed = windows.assign_configured_windows(records, self.config, self.defaults)
+        return placed.drop(*self.defaults)
+
     def _open(self, service: str, collection: str, as_of: Moment | None) -> DataFrame:
+        """Records of a stream's open window."""
+        settings = self.defaults
+        if self.config is not None:
+            stream = self.spark.createDataFrame([(service, collection)], STREAM)
+            settings = windows.with_config(stream, self.config, self.defaults).first()
+        slide_ms, offset_ms = settings["slide_length_ms"], settings["start_time_ms"]
         as_of = _now(as_of)
         now = moment(as_of)
-        start = times.window_start(now, self.slide_ms, self.offset_ms)
-        day = F.col("day")
-        log = self.records().filter(day.between(_day(start), _day(now)))
+        start = times.window_start(now, slide_ms, offset_ms)
+        log = self.records().filter(F.col("day").between(_day(start), _day(now)))
         stream = windows.of_stream(log.select(*RECORD.names), service, collection)
-        return windows.open_window(stream, as_of, self.slide_ms, self.offset_ms)
+        return windows.open_window(stream, as_of, slide_ms, offset_ms)
 
     def _live(
         self,
         service: str,
         collection: str | None,
-        begin: Moment | None,
+        begin: Moment,
         end: Moment | None,
         as_of: Moment | None,
     ) -> DataFrame:
         """Records of windows in the range that no seal has stored yet."""
-        pending = windows.of_stream(self._pending(), service, collection)
-        chosen = windows.select_range(
-            pending, begin, end, _now(as_of), self.label, self.slide_ms, self.offset_ms
-        )
+        as_of = _now(as_of)
+        ts = F.col("ts")
+        first = times.later(F.least(moment(begin), moment(as_of)), -self.longest_ms)
+        rows = windows.of_stream(self._pending(), service, collection)
+        rows = rows.filter((ts >= first) & (ts <= moment(as_of)))
+        if end is not None:
+            rows = rows.filter(ts <= times.later(moment(end), self.longest_ms))
+        chosen = windows.in_range(self._windowed(rows), begin, end, as_of, self.label)
         return self.store.unsealed(chosen)
 
     def _stored(

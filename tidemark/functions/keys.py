@@ -31,17 +31,18 @@ def hex_digest(number: Column) -> Column:
     return F.lower(F.lpad(F.hex(number), 32, "0"))
 
 
-def sketch_buckets(key: Column, depth: int, width: int) -> Column:
+def sketch_buckets(key: Column, depth: int, width: int | Column) -> Column:
     """One bucket per sketch row, as an array of ``depth`` longs in ``[0, width)``.
 
     A digest yields four independent 32-bit hashes, so four rows cost a single md5.
     """
+    size = F.lit(width).cast("long")
     buckets = []
     for row in range(depth):
         block, part = divmod(row, BUCKETS_PER_DIGEST)
         digest = F.md5(F.concat(F.lit(f"{block}|"), key))
         chunk = F.substring(digest, 8 * part + 1, 8)
-        buckets.append(F.pmod(F.conv(chunk, 16, 10).cast("long"), F.lit(width).cast("long")))
+        buckets.append(F.pmod(F.conv(chunk, 16, 10).cast("long"), size))
     return F.array(*buckets)
 
 

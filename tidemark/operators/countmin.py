@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import sketch_buckets
@@ -24,17 +24,19 @@ from tidemark.schema import (
 def cells(
     counts: DataFrame,
     depth: int = SKETCH_DEPTH,
-    width: int = SKETCH_WIDTH,
-    max_value: int = SKETCH_MAX_VALUE,
+    width: int | Column = SKETCH_WIDTH,
+    max_value: int | Column = SKETCH_MAX_VALUE,
     group: Sequence[str] = STREAM_WINDOW,
 ) -> DataFrame:
     """Cells ``(i, b, v)`` per window from per-window key counts.
 
-    Only distinct keys are expanded into ``depth`` cells, never single events.
+    Width and cap may be columns, one value per stream. Only distinct keys are expanded into
+    ``depth`` cells, never single events.
     """
-    placed = _placed(counts.select(*group, "key", "n"), depth, width).drop("key")
-    capped = F.least(F.sum("n"), F.lit(max_value).cast("long"))
-    return placed.groupBy(*group, "i", "b").agg(capped.alias("v"))
+    capped = counts.withColumn("__cap", F.lit(max_value).cast("long"))
+    placed = _placed(capped, [*group, "n", "__cap"], depth, width)
+    summed = placed.groupBy(*group, "__cap", "i", "b").agg(F.sum("n").alias("v"))
+    return summed.withColumn("v", F.least("v", "__cap")).drop("__cap")
 
 
 def merge(window_cells: DataFrame, group: Sequence[str] = STREAM) -> DataFrame:
@@ -46,7 +48,7 @@ def estimate(
     keys: DataFrame,
     merged: DataFrame,
     depth: int = SKETCH_DEPTH,
-    width: int = SKETCH_WIDTH,
+    width: int | Column = SKETCH_WIDTH,
     group: Sequence[str] = STREAM,
 ) -> DataFrame:
     """Estimated count of each ``(group, key)``: the smallest of its cells.
@@ -54,17 +56,19 @@ def estimate(
     Never below the true count while no cell has reached its cap. A key of which some cell is empty
     was never counted and gets 0.
     """
-    probes = keys.select(*group, "key").distinct()
-    found = _placed(probes, depth, width).join(merged, [*group, "i", "b"], "left")
+    sized = keys.withColumn("__width", F.lit(width).cast("long"))
+    probes = sized.select(*group, "key", "__width").distinct()
+    placed = _placed(probes, [*group, "key"], depth, F.col("__width"))
+    found = placed.join(merged, [*group, "i", "b"], "left")
     lowest = F.min(F.coalesce(F.col("v"), F.lit(0)))
     return found.groupBy(*group, "key").agg(lowest.alias("estimate"))
 
 
-def _placed(rows: DataFrame, depth: int, width: int) -> DataFrame:
+def _placed(rows: DataFrame, columns: list[str], depth: int, width: int | Column) -> DataFrame:
     """Each row once per sketch row, with its cell. The projection shares the digest of a key.
 
     The arrays are never empty, so the outer form changes no result; it keeps Spark from deriving
     an is-not-empty filter and hashing every record below the aggregation to evaluate it.
     """
     buckets = rows.withColumn("__buckets", sketch_buckets(F.col("key"), depth, width))
-    return buckets.select(*rows.columns, F.posexplode_outer("__buckets").alias("i", "b"))
+    return buckets.select(*columns, F.posexplode_outer("__buckets").alias("i", "b"))

@@ -27,7 +27,7 @@ def with_config(
     records: DataFrame, config: DataFrame, defaults: Mapping[str, int] = DEFAULT_CONFIG
 ) -> DataFrame:
     """Attach each stream's settings, falling back to the default parameter by parameter."""
-    joined = sized_join(records, config, STREAM)
+    joined = sized_join(records, config.select(*STREAM, *defaults), STREAM)
     return joined.withColumns(
         {name: F.coalesce(F.col(name), F.lit(value)) for name, value in defaults.items()}
     )

@@ -269,6 +269,20 @@ WHERE rk <= capacity""",
         "kmv_distinct": _sql([SALES], _kmv("sales")),
         "kmv_merged": _sql([REC, RANGED], _kmv("ranged")),
         "cms_cells": _sql([REC], f"SELECT {ROWS}, i, b, v FROM ({_window_cells('daily')})"),
+        "config_cells": _sql(
+            [REC, _settings()],
+            f"""
+SELECT {ROWS}, i, b, least(CAST(count(*) AS BIGINT), max_value) AS v
+FROM (SELECT {S}, w, i, max_value,
+             CAST('0x' || substr(md5((i // 4) || '|' || key), 8 * (i % 4) + 1, 8) AS BIGINT)
+             % width AS b
+      FROM (SELECT d.service, d.collection, d.w, d.key,
+                   coalesce(width, {q.SKETCH_WIDTH}) AS width,
+                   coalesce(max_value, {q.SKETCH_CAP}) AS max_value
+            FROM daily d LEFT JOIN config USING (service, collection)),
+           range({q.SKETCH_DEPTH}) AS depth(i))
+GROUP BY service, collection, w, i, b, max_value""",
+        ),
         "cms_merge": _sql([REC, RANGED], _merged_cells("ranged")),
         "cms_estimate": _sql([REC, RANGED], _estimates("ranged")),
         "values_first_seen": _sql(

@@ -59,7 +59,7 @@ TOPK_ERROR = 2.625
 STREAM_SETTINGS = [
     ("events", "click", 6 * 3_600_000, 12 * 3_600_000, None, None, 5),
     ("events", "error", None, 3_600_000, 4096, None, None),
-    ("events", "view", 0, None, None, 1 << 30, 3),
+    ("events", "view", 0, None, 16, 7, 3),
 ]
 
 _QUERIES: dict[str, Query] = {}
@@ -239,9 +239,9 @@ def config_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 def config_toplist(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec = tables.event_records(spark, sf_dir)
     counts = frequency.key_counts(windows.assign_configured_windows(rec, _config(spark)))
-    limited = windows.with_config(counts, _config(spark).select(*STREAM, "topk_max_count"), {
-        "topk_max_count": TOP_LIST_CAPACITY
-    })
+    limited = windows.with_config(
+        counts, _config(spark), {"topk_max_count": TOP_LIST_CAPACITY}
+    )
     top = frequency.configured_top_list(limited)
     return _ranked(windows.with_label(top).drop("topk_max_count"))
 
@@ -412,6 +412,18 @@ def cms_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cell_columns(windows.with_label(cells))
 
 
+@query
+def config_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stream with its own sketch width and cap."""
+    counts = frequency.key_counts(_daily(spark, sf_dir))
+    defaults = {"sketch_width": SKETCH_WIDTH, "sketch_max_value": SKETCH_CAP}
+    sized = windows.with_config(counts, _config(spark), defaults)
+    cells = countmin.cells(
+        sized, SKETCH_DEPTH, F.col("sketch_width"), F.col("sketch_max_value")
+    )
+    return _cell_columns(windows.with_label(cells))
+
+
 @query
 def cms_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _cells(frequency.key_counts(_ranged(spark, sf_dir)))

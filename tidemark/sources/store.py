@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from tidemark.functions.times import Moment, moment
 from tidemark.operators import countmin, distinct, frequency, values
 from tidemark.operators.joins import sized_join
-from tidemark.operators.windows import in_range
+from tidemark.operators.windows import in_range, with_config
 from tidemark.schema import (
     HLL_LG_K,
     SKETCH_DEPTH,
@@ -52,7 +52,11 @@ TABLES = {
 
 
 class WindowStore:
-    """Write-once storage of sealed windows below ``path``."""
+    """Write-once storage of sealed windows below ``path``.
+
+    ``config`` gives streams their own top-list capacity, sketch width and sketch cap; the other
+    arguments are for streams without.
+    """
 
     def __init__(
         self,
@@ -63,6 +67,7 @@ class WindowStore:
         width: int = SKETCH_WIDTH,
         max_value: int = SKETCH_MAX_VALUE,
         lg_k: int = HLL_LG_K,
+        config: DataFrame | None = None,
     ):
         self.spark = spark
         self.path = path.rstrip("/")
@@ -71,9 +76,15 @@ class WindowStore:
         self.width = width
         self.max_value = max_value
         self.lg_k = lg_k
-        for name in TABLES:
-            empty = spark.createDataFrame([], TABLES[name]).write.mode("ignore")
-            empty.partitionBy(*_places(name)).parquet(self._folder(name))
+        self.config = config
+        with ThreadPoolExecutor(len(TABLES)) as pool:
+            create = inheritable_thread_target(spark)(self._create)
+            for job in [pool.submit(create, name) for name in TABLES]:
+                job.result()
+
+    def _create(self, name: str) -> None:
+        empty = self.spark.createDataFrame([], TABLES[name]).write.mode("ignore")
+        empty.partitionBy(*_places(name)).parquet(self._folder(name))
 
     def seal(self, key_rows: DataFrame, seal: str) -> None:
         """Store the windows of ``key_rows`` (see :func:`values.key_rollup`) not yet in the store.
@@ -89,9 +100,9 @@ class WindowStore:
         if counts.isEmpty():
             return
         derived = {
-            "toplist": frequency.top_list(counts, self.capacity),
+            "toplist": self._top_lists(counts),
             "distinct": distinct.distinct_sketches(counts, self.lg_k),
-            "cms": countmin.cells(counts, self.depth, self.width, self.max_value),
+            "cms": self._cells(counts),
         }
         # Independent jobs over the same stored rows: together they keep the cluster busy.
         with ThreadPoolExecutor(len(derived)) as pool:
@@ -103,6 +114,23 @@ class WindowStore:
         )
         self._write("catalog", entries, seal)
 
+    def _top_lists(self, counts: DataFrame) -> DataFrame:
+        if self.config is None:
+            return frequency.top_list(counts, self.capacity)
+        largest = self.config.agg(F.max("topk_max_count")).first()[0]
+        limited = with_config(counts, self.config, {"topk_max_count": self.capacity})
+        top = frequency.configured_top_list(limited, max(largest or 0, self.capacity))
+        return top.select(*STREAM_WINDOW, "rk", "key", "n")
+
+    def _cells(self, counts: DataFrame) -> DataFrame:
+        if self.config is None:
+            return countmin.cells(counts, self.depth, self.width, self.max_value)
+        defaults = {"sketch_width": self.width, "sketch_max_value": self.max_value}
+        sized = with_config(counts, self.config, defaults)
+        return countmin.cells(
+            sized, self.depth, F.col("sketch_width"), F.col("sketch_max_value")
+        )
+
     def seal_records(self, windowed: DataFrame, seal: str, as_of: Moment | None = None) -> None:
         """Roll up windowed records and store them; with ``as_of``, only windows over by then."""
         if as_of is not None:
