@@ -39,7 +39,7 @@ TOP_K = 10
 CURRENT_LIMIT = 20
 STREAM_ASKED = ("events", "click")
 WINDOW_ASKED = "20240110T000000"
-KEY_ASKED = "7"
+KEY_ASKED = "6"
 IMPORT_SINCE = "20240110T000000"
 SLIDE_MS = 6 * 60 * 60 * 1000
 SLIDE_OFFSET_MS = 90 * 60 * 1000
