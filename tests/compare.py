@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import sys
 import time
 from pathlib import Path
@@ -31,16 +30,10 @@ def rows_of(names: list[str], rows: list[tuple]) -> list[tuple]:
 
 
 def same(left: list[tuple], right: list[tuple]) -> bool:
-    if len(left) != len(right):
-        return False
-    for a, b in zip(left, right):
-        for x, y in zip(a, b):
-            if isinstance(x, float) and isinstance(y, float):
-                if not math.isclose(x, y, rel_tol=1e-12):
-                    return False
-            elif x != y or type(x) is not type(y):
-                return False
-    return True
+    """Equal row by row in values and types, doubles to the last bit."""
+    return left == right and all(
+        type(x) is type(y) for a, b in zip(left, right) for x, y in zip(a, b)
+    )
 
 
 def compare(spark, db, sf_dir: str, name: str) -> tuple[bool, str]:

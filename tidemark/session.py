@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the library relies on to ``spark``.
@@ -39,17 +41,17 @@ def is_local(spark: SparkSession) -> bool:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting; it then gets a temporary folder, which is
-    remembered in the session so that later calls share it.
+    Only a local session may go without the setting; it then gets one temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not is_local(spark):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="tidemark-")
+    return _LOCAL_FOLDERS[application]
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
