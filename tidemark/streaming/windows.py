@@ -11,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from tidemark.functions.times import Moment, moment
 from tidemark.operators.windows import assign_windows, with_config
 from tidemark.schema import DAY_MS, STREAM, STREAM_WINDOW
+from tidemark.session import written
 from tidemark.sources.store import WindowStore
 
 MAX_SETTINGS = 64
@@ -53,11 +54,14 @@ def seal_windows(
     """A writer that stores every window once the watermark has passed its end.
 
     A window's keys leave the state in one micro-batch, which becomes one seal named after it: a
-    replayed batch replaces itself.
+    replayed batch replaces itself. The batch is written as it leaves the state and sealed from
+    there, where adaptive execution, which stateful plans go without, splits hot windows.
     """
 
     def seal(batch: DataFrame, batch_id: int) -> None:
-        store.seal(batch, f"{name}-{batch_id}")
+        rows = written(batch, f"{name}-batch")
+        if not rows.isEmpty():
+            store.seal(rows, f"{name}-{batch_id}")
 
     keys = windowed_keys(stream, slide_ms, offset_ms, delay)
     return keys.writeStream.outputMode("append").foreachBatch(seal)
