@@ -14,6 +14,13 @@ def test_tokens_of_a_text(spark):
     assert rows(tokens, "key") == [("bag",), ("shoes",), ("shoes",)]
 
 
+def test_tokens_of_text_files(spark):
+    path = fresh_folder(spark, "text")
+    spark.createDataFrame([("shoes bag",), ("bag",)], ["value"]).write.text(path)
+    tokens = records.token_records(spark.read.text(path), "value", F.lit("s"), F.lit("c"))
+    assert rows(tokens, "key") == [("bag",), ("bag",), ("shoes",)]
+
+
 def test_records_have_one_schema(spark):
     df = spark.createDataFrame([(7, "x")], "id bigint, text string")
     plain = records.log_records(df, F.lit("s"), F.lit("c"), "id")
@@ -27,16 +34,16 @@ def test_records_have_one_schema(spark):
 def test_imported_rows_become_records(spark):
     log = spark.createDataFrame(
         [
-            ("b5", "20130516T000000", "shoes", 3, None),
-            ("b5", "20130515T235959", "early", 3, "x"),
-            ("b5", "20130517T000000", "nothing", 0, "x"),
+            ("shop", "20130516T000000", "shoes", 3, None),
+            ("shop", "20130515T235959", "early", 3, "x"),
+            ("shop", "20130517T000000", "nothing", 0, "x"),
         ],
         "collection string, TimeStamp string, query string, hit_docs_num long, extra string",
     )
     found = records.imported_records(log, F.lit("s"), "20130516T000000").collect()
     assert [row["key"] for row in found] == ["shoes"]
     assert found[0]["values"] == {
-        "collection": "b5",
+        "collection": "shop",
         "TimeStamp": "20130516T000000",
         "query": "shoes",
         "hit_docs_num": "3",

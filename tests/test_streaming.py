@@ -5,7 +5,7 @@ from tests.helpers import records, rows
 from tidemark.functions.times import format_label
 from tidemark.operators import frequency, labels, values, windows
 from tidemark.schema import RECORD, STREAM_CONFIG
-from tidemark.session import fresh_folder
+from tidemark.session import ROCKSDB_STATE, fresh_folder
 from tidemark.sources.store import WindowStore
 from tidemark.streaming import labels as label_stream
 from tidemark.streaming import windows as window_stream
@@ -120,3 +120,28 @@ def test_each_setting_has_its_own_windows(spark, files):
         ("c", "20130509T000000"),
         ("c", "20130510T000000"),
     }
+
+
+def test_the_cluster_state_store_gives_the_same_totals(spark):
+    """State in RocksDB, as ``tune`` sets it outside local sessions."""
+    schema = "collection string, label_name string, hits bigint"
+    source_path, path = fresh_folder(spark, "hits"), fresh_folder(spark, "totals")
+    spark.createDataFrame([("c", "red", 2), ("c", "red", 3)], schema).write.parquet(source_path)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB_STATE)
+    try:
+        drain(spark, label_stream.track_labels(source(spark, source_path, schema), path))
+    finally:
+        spark.conf.set(name, before)
+    assert rows(label_stream.latest_totals(spark.read.parquet(path))) == [("c", "red", 5)]
+
+
+def test_events_behind_the_watermark_do_not_reopen_a_window(spark, files):
+    store = WindowStore(spark, fresh_folder(spark, "store"), depth=1, width=16)
+    checkpoint = drain(spark, window_stream.seal_windows(source(spark, files), store, "log"))
+    sealed = rows(store.keys(), "window_start", "key", "n")
+    late = [("late", "2013-05-09 03:00:00", None)]
+    records(spark, late).coalesce(1).write.mode("append").parquet(files)
+    drain(spark, window_stream.seal_windows(source(spark, files), store, "log"), checkpoint)
+    assert rows(store.keys(), "window_start", "key", "n") == sealed
