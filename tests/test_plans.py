@@ -69,3 +69,5 @@ def test_stored_ranges_read_only_their_days(spark):
     assert re.search(r"PartitionFilters: \[[^\]]*day\S* >= 20240110", keys)
     assert re.search(r"PartitionFilters: \[[^\]]*day\S* <= 20240111", keys)
     assert "values" not in re.search(r"ReadSchema: struct<([^>]*)>", keys).group(1)
+    by_end = plan(store.keys("20240110T000000", "20240111T000000", "end").select("key"))
+    assert re.search(r"PartitionFilters: \[[^\]]*day\S* >= 20240109", by_end)

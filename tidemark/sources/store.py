@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.times import Moment, moment
+from tidemark.functions.times import Moment, later, moment
 from tidemark.operators import countmin, distinct, frequency, values
 from tidemark.operators.joins import sized_join
 from tidemark.operators.windows import in_range, with_config
@@ -162,14 +162,21 @@ class WindowStore:
     def _range(self, name: str, begin: Moment | None, end: Moment | None, label: str) -> DataFrame:
         rows = self._read(name)
         # Day text sorts like time, so these prune folders.
-        if begin is not None and label == "start":
-            rows = rows.filter(F.col("day") >= _day(moment(begin)))
+        if begin is not None:
+            first = moment(begin)
+            if label == "end":
+                first = later(first, -self._longest_ms())
+            rows = rows.filter(F.col("day") >= _day(first))
         if end is not None:
             rows = rows.filter(F.col("day") <= _day(moment(end)))
         rows = in_range(rows.drop("day"), begin, end, None, label)
         committed = self.catalog().select("seal").distinct()
         return sized_join(rows, committed, ["seal"], "left_semi").drop("seal")
 
+    def _longest_ms(self) -> int:
+        length = F.unix_millis("window_end") - F.unix_millis("window_start")
+        return self.catalog().agg(F.max(length)).first()[0] or 0
+
     def _folder(self, name: str) -> str:
         return f"{self.path}/{name}"
 
