@@ -98,17 +98,10 @@ def _windows(df: DataFrame, lengths: list[int]) -> DataFrame:
     return df.select(*rest, F.inline(F.concat(*every)))
 
 
-def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: int = 100_000
-) -> DataFrame:
-    """``doc_id``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` and ``contaminated`` of every document.
-
-    A window is ``window`` consecutive words of a benchmark item, or a whole shorter item that has words. A
-    document word inside any occurrence of a window is hit; ``n_items`` items have occurring windows, and
-    ``items_sha256`` is that of their ids, sorted as strings and joined by commas. Null texts have no
-    words, null item ids count as the string "null". Other columns are not looked at. ``gram`` is below
-    ``window``; ``limit`` bounds what is broadcast, in rows.
-    """
+def _hits(
+    docs: DataFrame, benchmark: DataFrame, window: int, gram: int, limit: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All documents with their number of words; every occurrence of a window; the items of the windows."""
     if not 1 <= gram <= window:
         raise ValueError("gram must be between 1 and window")
     spark = docs.sparkSession
@@ -156,7 +149,28 @@ def contamination(
         lambda p: F.concat_ws(" ", F.slice(F.col("words"), p["place"] + 1, p["length"])) == p["spelling"],
     )
     hit = written(candidates.join(listed, ["id", "h"]).select("id", "h", F.inline(confirmed)), "hits")
+    return seen, hit, spelled
 
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: int = 100_000
+) -> DataFrame:
+    """``id`` and ``h`` (see ``common``) of the documents with any window of an item."""
+    return written(_hits(docs, benchmark, window, gram, limit)[1].select("id", "h").distinct(), "contaminated")
+
+
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: int = 100_000
+) -> DataFrame:
+    """``doc_id``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` and ``contaminated`` of every document.
+
+    A window is ``window`` consecutive words of a benchmark item, or a whole shorter item that has words. A
+    document word inside any occurrence of a window is hit; ``n_items`` items have occurring windows, and
+    ``items_sha256`` is that of their ids, sorted as strings and joined by commas. Null texts have no
+    words, null item ids count as the string "null". Other columns are not looked at. ``gram`` is below
+    ``window``; ``limit`` bounds what is broadcast, in rows.
+    """
+    seen, hit, spelled = _hits(docs, benchmark, window, gram, limit)
     so_far = Window.partitionBy("id", "h").orderBy("place", "length").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("place") + F.col("length")
     reached = F.coalesce(F.max(end).over(so_far), F.lit(0))

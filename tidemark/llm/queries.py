@@ -1,4 +1,7 @@
-"""One registered query per operator, with production parameters, over its whole tables."""
+"""One registered query per operator, with production parameters, over its whole tables.
+
+An operator without SQL has no entry in ``llm_oracles``; it is tested against brute force.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, simhash, substring
+from tidemark.llm import (
+    decontaminate,
+    html,
+    license,
+    mixing,
+    multiset,
+    pii,
+    simhash,
+    substring,
+    tokens,
+    toxicity,
+)
+
+#: No source may make up more of the mix than this; the others keep their proportions.
+LARGEST_SHARE = 0.25
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +45,106 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.compare_neighbours(_table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_ids(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.schedule(docs, mixing.capped_weights(docs, LARGEST_SHARE))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        name: value for name, value in sorted(globals().items()) if name.startswith("op") and callable(value)
-    }
+    every = (
+        op1_substring_dedup,
+        op2_simhash,
+        op3_fingerprints,
+        op4_toxicity,
+        op5_licenses,
+        op6_decontaminate,
+        op7_token_files,
+        op8_mixing,
+        op9_main_text,
+        op10_personal_data,
+    )
+    return {query.__name__: query for query in every}
+
+
+OP1_SQL = r"""
+WITH split_texts AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM split_texts WHERE len(w) >= 20)
+), later AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1
+), covered AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later
+), word_rows AS (
+    SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM split_texts
+), kept AS (
+    SELECT word_rows.doc_id, string_agg(word, ' ' ORDER BY word_rows.p) AS t, count(*) AS n
+    FROM word_rows LEFT JOIN covered ON word_rows.doc_id = covered.doc_id AND word_rows.p = covered.p
+    WHERE covered.p IS NULL GROUP BY word_rows.doc_id
+)
+SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM split_texts s LEFT JOIN kept ON s.doc_id = kept.doc_id
+"""
+
+OP6_SQL = r"""
+WITH item_words AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), doc_words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item_windows AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS k
+    FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM item_words WHERE len(w) > 0)
+), lengths AS (
+    SELECT DISTINCT n FROM item_windows
+), doc_windows AS (
+    SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc_words, lengths WHERE len(w) >= n)
+), hits AS (
+    SELECT doc_id, i, d.n, item_id FROM doc_windows d JOIN item_windows b ON d.k = b.k AND d.n = b.n
+), hit_words AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
+), hit_items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN hit_words h ON d.doc_id = h.doc_id LEFT JOIN hit_items t ON d.doc_id = t.doc_id
+"""
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {"op1_substring_dedup": OP1_SQL, "op6_decontaminate": OP6_SQL}

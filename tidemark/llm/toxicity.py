@@ -372,3 +372,16 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, mod
     model = model or fit(docs, labels)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), whole_text().alias("text"))
     return keyed.mapInArrow(lambda it: _scored(it, model, threshold), RESULT)
+
+
+def _fine(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "__text"):
+        odds, _, _ = model.tag(_tokens(batch.column("__text")))
+        kept = batch.filter(pa.array(model.score(odds) < threshold))
+        yield kept.select(batch.schema.names[:-1])
+
+
+def keep_fine(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores below ``threshold``."""
+    prepare(docs.sparkSession)
+    return docs.withColumn("__text", whole_text()).mapInArrow(lambda it: _fine(it, model, threshold), docs.schema)
