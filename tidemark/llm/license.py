@@ -105,8 +105,8 @@ def build_index(templates: dict[str, str], gram: int = GRAM, guarantee: int = GU
         least = set(sliding_min(values, min(guarantee - gram + 1, len(values))).tolist())
         rows += [(v, i, place) for place, v in enumerate(values.tolist()) if v in least]
     rows.sort()
-    columns = [np.array(c) for c in zip(*rows)] if rows else [np.empty(0)] * 3
-    return Index(names, listed, columns[0].astype(np.uint64), columns[1].astype(np.int64), columns[2].astype(np.int64))
+    values, template, place = zip(*rows) if rows else ((), (), ())
+    return Index(names, listed, np.array(values, np.uint64), np.array(template, np.int64), np.array(place, np.int64))
 
 
 def align(template: list[int], words: list[int], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
