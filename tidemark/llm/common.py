@@ -45,6 +45,12 @@ def text_key(column: str = "text") -> Column:
     return F.xxhash64(whole_text(column))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """``text_key``, or a constant where no two rows share a ``doc_id``: 8 bytes less to carry around."""
+    shared = docs.select(id_key().alias("id")).groupBy("id").count().filter("count > 1")
+    return F.lit(0).cast("long") if shared.isEmpty() else text_key()
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text, so that working memory is bounded
     by that or by one document."""

@@ -21,10 +21,10 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_key, partitions, prepare, slices, text_key, whole_text
+from tidemark.llm.common import id_key, partitions, prepare, row_key, slices, whole_text
 from tidemark.llm.words import (
     Words,
     gram_places,
@@ -109,18 +109,18 @@ def _stretches(keys: list[np.ndarray], keep: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _pack(runs: Runs, texts: list[bytes]) -> bytes:
-    parts = [np.int64(len(texts)).tobytes()]
-    parts += [runs.id.astype("<i8").tobytes(), runs.h.astype("<i8").tobytes()]
-    parts += [runs.start.astype("<i8").tobytes(), runs.n.astype("<i8").tobytes()]
-    parts += [np.fromiter(map(len, texts), np.int64, len(texts)).tobytes(), *texts]
+    long = np.stack([runs.id, runs.h]).astype("<i8")
+    short = np.stack([runs.start, runs.n, np.fromiter(map(len, texts), np.int64, len(texts))]).astype("<i4")
+    parts = [np.int64(len(texts)).tobytes(), long.tobytes(), short.tobytes(), *texts]
     return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def _unpack(blob: bytes) -> tuple[Runs, np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     count = int(np.frombuffer(raw, np.int64, 1)[0])
-    fields = np.frombuffer(raw, np.int64, 5 * count, 8).reshape(5, count)
-    return Runs(*fields[:4]), fields[4], np.frombuffer(raw, np.uint8, offset=8 + 40 * count)
+    long = np.frombuffer(raw, "<i8", 2 * count, 8).reshape(2, count)
+    short = np.frombuffer(raw, "<i4", 3 * count, 8 + 16 * count).reshape(3, count).astype(np.int64)
+    return Runs(long[0], long[1], short[0], short[1]), short[2], np.frombuffer(raw, np.uint8, offset=8 + 28 * count)
 
 
 def _flag_rows(ids: np.ndarray, hs: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[tuple]:
@@ -259,9 +259,11 @@ def _removed(batches: Iterator[pa.RecordBatch], text: bool) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
 
-def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def repeated_windows(docs: DataFrame, key: Column, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """Per document (``id``, ``h``) stretches of words covered by windows that also start earlier.
 
+    ``key`` is ``h``, which tells documents with one id apart.
+
     ``runs`` holds pairs of 32-bit numbers, first word and number of words; a document may have
     several rows, and stretches may overlap.
     """
@@ -269,7 +271,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> D
     prepare(spark)
     count = partitions(spark)
     buckets = BUCKETS_PER_PARTITION * count
-    keyed = docs.select(id_key().alias("id"), text_key().alias("h"), whole_text().alias("text"))
+    keyed = docs.select(id_key().alias("id"), key.alias("h"), whole_text().alias("text"))
     return (
         keyed.mapInArrow(lambda it: _super_kmers(it, width, gram, buckets), PACKED)
         .repartition(count, "bucket")
@@ -291,9 +293,10 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep
     """
     if not 1 <= gram <= width:
         raise ValueError("gram must be between 1 and width")
-    flags = repeated_windows(docs, width, gram).groupBy("id", "h").agg(F.collect_list("runs").alias("runs"))
+    key = row_key(docs)
+    flags = repeated_windows(docs, key, width, gram).groupBy("id", "h").agg(F.collect_list("runs").alias("runs"))
     keyed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("id"), text_key().alias("h"), whole_text().alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("id"), key.alias("h"), whole_text().alias("text")
     )
     joined = keyed.join(flags, ["id", "h"], "left").select("doc_id", "text", "runs")
     result = joined.mapInArrow(lambda it: _removed(it, keep_text), RESULT)
