@@ -1,0 +1,337 @@
+"""The training-data operators against brute force, on a small table with every awkward kind of row."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tidemark.llm import (
+    bpe,
+    decontaminate,
+    html,
+    license,
+    mixing,
+    multiset,
+    pfor,
+    pii,
+    queries,
+    simhash,
+    substring,
+    tokens,
+    toxicity,
+)
+from tidemark.llm.words import text_bytes
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+PASSAGE = " ".join(f"p{i}" for i in range(30))
+OTHER = " ".join(f"q{i}" for i in range(25))
+ROWS = [
+    (5, f"start {PASSAGE} end", "s"),
+    (2, f"A {PASSAGE.upper()}\n{PASSAGE}", "s"),
+    (9, f"{PASSAGE} {PASSAGE}  \t{OTHER}", None),
+    (9, f"{PASSAGE} {PASSAGE}  \t{OTHER}", None),  # a repeated row
+    (7, None, "t"),
+    (8, "", "t"),
+    (11, "é ü x 日本 mail: ann.b@ex-a.org, +49 (30) 123456-78 and 10.0.0.1; 4111 1111 1111 1111.", "t"),
+    (12, "one", "u"),
+    (13, "one two", "u"),
+    (14, ("ab " * 60).strip(), "u"),
+    (15, " ".join(f"w{i % 97}" for i in range(4000)), "u"),
+    (16, "Released under the MIT License.\nLicensed under CC BY-NC 4.0.", "u"),
+    (None, f"{OTHER} tail", "s"),
+]
+SCHEMA = "doc_id long, text string, source string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    # Columns whose names the operators use themselves.
+    frame = spark.createDataFrame(ROWS, SCHEMA).repartition(3)
+    for name in ("id", "h", "range", "words", "row", "n", "label", "h_text"):
+        frame = frame.withColumn(name, F.lit("x"))
+    return frame
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def low(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def ids(row):
+    return (row[0] is not None, row[0] or 0, row[1] or "")
+
+
+def test_substrings(docs, none):
+    seen, want = set(), Counter()
+    for doc_id, text, _ in sorted(set(ROWS), key=ids):
+        words = WORD.findall(text or "")
+        hit = [False] * len(words)
+        for i in range(len(words) - 19):
+            window = tuple(words[i : i + 20])
+            if window in seen:
+                hit[i : i + 20] = [True] * 20
+            seen.add(window)
+        kept = " ".join(w for w, h in zip(words, hit) if not h)
+        row = (doc_id, len(words), sum(hit), hashlib.sha256(kept.encode()).hexdigest(), kept)
+        want[row] = ROWS.count((doc_id, text, _))
+    assert Counter(tuple(r) for r in substring.dedup_substrings(docs).collect()) == want
+    assert substring.dedup_substrings(none).count() == 0
+
+
+def test_substring_buckets_keep_only_first_occurrences(monkeypatch):
+    """Sorting after every string gives what one sort gives."""
+    monkeypatch.setattr(substring, "SORT_BYTES", 1)
+    bucket, flagged = substring._Bucket(3), []
+    for doc, text in ((4, "a b c d"), (3, "a b c"), (9, "b c d e"), (1, "a b c")):
+        runs = substring.Runs(*(np.array([x]) for x in (doc, 0, 0, len(text.split()))))
+        flagged += bucket.add(substring._pack(runs, [text.encode()]))
+    flagged += bucket.sort()
+    found = sorted((i, tuple(np.frombuffer(r, "<i4"))) for i, _, r in flagged)
+    assert found == [(3, (0, 3)), (4, (0, 3)), (9, (0, 3))]
+
+
+def fingerprint(text):
+    words = WORD.findall(low(text))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(docs, none):
+    got = Counter((r.doc_id, r.fingerprint) for r in simhash.near_duplicates(docs).collect())
+    assert got == Counter((d, f"{fingerprint(t):016x}") for d, t, _ in ROWS)
+    classes = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert classes[7] == classes[8] == 7 and classes[9] == 9
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def test_links_and_components(spark):
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 2**63, 40).tolist()
+    values += [v ^ (1 << int(a)) ^ (1 << int(b)) for v in values for a, b in rng.integers(0, 63, (6, 2))]
+    values = sorted(set(values))
+    nodes = spark.createDataFrame(list(enumerate(values)), "node long, fp long")
+    want = {(i, j) for i, a in enumerate(values) for j, b in enumerate(values[:i]) if (a ^ b).bit_count() <= 3}
+    assert {tuple(r) for r in simhash.links(nodes).collect()} == want
+    from tidemark.llm.graph import components
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31), (31, 30), (40, 40)], "u long, v long")
+    assert {tuple(r) for r in components(chain).collect()} == {(i, 0) for i in range(21)} | {(30, 30), (31, 30)}
+
+
+def test_fingerprints(docs, none):
+    rows, want = sorted(ROWS, key=ids), Counter()
+    for i, (doc_id, text, _) in enumerate(rows):
+        text, after = text or "", rows[(i + 1) % len(rows)][1] or ""
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + after[:cut]
+        mine, other, following = multiset.fingerprints([text, edited, after])
+        digest = hashlib.sha256(edited.encode()).hexdigest()
+        likeness = mine.likeness(other), mine.likeness(following)
+        want[doc_id, len(text), digest, mine.hex(), other.hex(), *likeness] += 1
+    assert Counter(tuple(r) for r in multiset.compare_neighbours(docs).collect()) == want
+    assert multiset.compare_neighbours(none).count() == 0
+    a, b, c = multiset.fingerprints(["x y\nz", "z\nx y", "x y"])
+    assert a.hex() == b.hex() != c.hex() and (c + multiset.fingerprints(["z"])[0]).hex() == a.hex()
+
+
+def test_toxicity(spark, docs, none):
+    base = "/root/testdata/sf0.1"
+    table, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(table, labels)
+    found = toxicity.scores(table, labels, model=model).join(labels, "doc_id").filter("held_out").toPandas()
+    right = ((found.predicted == 1) & (found.toxic == 1)).sum()
+    assert right >= 0.8 * (found.toxic == 1).sum()
+    assert ((found.predicted == 1) & (found.toxic == 0)).sum() <= 0.05 * right
+    rows = toxicity.scores(docs, labels, model=model).collect()
+    assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == 0 for r in rows)
+    assert {r.doc_id: r.held_out for r in rows}[5] == (zlib.crc32(b"5") % 3 == 1)
+    assert toxicity.scores(none, labels, model=model).count() == 0
+    assert toxicity.fit(none, labels.limit(0)).curve[0] < -10  # nothing to learn from
+
+
+def test_marginals_equal_enumeration():
+    from itertools import product
+
+    from tidemark.llm.crf import Chain
+
+    chain, scores = Chain(-0.7, 0.3, 0.9, 0.4), np.array([[0.5, -1.0, 2.0, 0.1]])
+    for length in (1, 3, 4):
+        total, share = 0.0, np.zeros(4)
+        for tags in product((0, 1), repeat=length):
+            s = chain.start * tags[0] + sum(scores[0, i] for i, t in enumerate(tags) if t)
+            s += sum({(0, 1): chain.enter, (1, 0): chain.leave, (1, 1): chain.stay}.get(p, 0) for p in zip(tags, tags[1:]))
+            total += np.exp(s)
+            share[:length] += np.exp(s) * np.array(tags)
+        normal, found, _ = chain.marginals(scores, np.array([length]))
+        assert np.allclose(normal, np.log(total)) and np.allclose(found[0], share / total)
+
+
+def test_licenses(docs, none):
+    rows = license.scan(docs).collect()
+    text = dict((d, t) for d, t, _ in ROWS)[16]
+    assert [(r.doc_id, r.license, r.coverage, text[r.start : r.end]) for r in sorted(rows, key=lambda r: r.start)] == [
+        (16, "MIT", 1.0, "Released under the MIT License"),
+        (16, "CC-BY-NC-4.0", 1.0, "Licensed under CC BY-NC 4.0"),
+    ]
+    assert license.scan(none).count() == 0
+    assert license.align([1, 2, 3, 4, 5], [9, 1, 2, 8, 4, 5, 7], 1)[0] == 4
+
+
+def contaminated(rows, items, size=10):
+    find = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = defaultdict(set)
+    for item, text in items:
+        words = find.findall(low(text))
+        n = min(size, len(words))
+        for i in range(len(words) - n + 1 if n else 0):
+            windows[tuple(words[i : i + n])].add(str(item))
+    result = Counter()
+    for doc_id, text, _ in rows:
+        words = find.findall(low(text))
+        hit, found = [False] * len(words), set()
+        for n in {len(w) for w in windows}:
+            for i in range(len(words) - n + 1):
+                if names := windows.get(tuple(words[i : i + n])):
+                    hit[i : i + n] = [True] * n
+                    found |= names
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        result[doc_id, len(words), sum(hit), len(found), digest, any(hit)] += 1
+    return result
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])  # broadcast, and not
+def test_contamination(spark, docs, none, limit):
+    items = [(1, OTHER), (2, f"x {PASSAGE}"), (3, "two"), (4, None), (5, "  "), (6, "ab ab ab"), (2, OTHER)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter(tuple(r) for r in decontaminate.contamination(docs, benchmark, limit=limit).collect())
+    assert got == contaminated(ROWS, items)
+    if limit:
+        assert decontaminate.contamination(none, benchmark).count() == 0
+        assert not any(r.contaminated for r in decontaminate.contamination(docs, benchmark.limit(0)).collect())
+
+
+def test_token_files(docs, none):
+    path = queries.tokenizer_path()
+    plain = bpe.Encoder(path).tokenizer
+    at, want = 0, []
+    for doc_id, text, _ in sorted(ROWS, key=ids):
+        own = [*plain.encode(text or "", add_special_tokens=False).ids, 0]
+        want.append((doc_id, at, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
+        at += len(own)
+    assert sorted(map(tuple, tokens.token_ids(docs, path).collect()), key=lambda r: r[1]) == want
+    assert tokens.token_ids(none, path).count() == 0
+
+
+def test_pieces_encode_as_the_whole_text():
+    encoder = bpe.Encoder(queries.tokenizer_path())
+    texts = ["", "  a  b\n\n c", "it's we'll I'd x 　 y", "a\u0085b \t\n", "<|endoftext|> hi", "É Å\nx's ###$ 12 a1", "\r\n\n x"]
+    found, first = encoder.encode(*text_bytes(pa.array(texts)))
+    for i, text in enumerate(texts):
+        assert found[first[i] : first[i + 1]].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("size", [0, 1, 255, 256, 257, 3000])
+@pytest.mark.parametrize("top", [1, 2, 300, 50257, 2**32 - 1])
+def test_blocks_round_trip(size, top):
+    rng = np.random.default_rng(size + top)
+    values = rng.integers(0, top, size).astype(np.uint32)
+    values[rng.random(size) < 0.03] = top - 1
+    lengths = [size // 3, 0, size - size // 3]
+    doc_ids, found, back = pfor.decode_segment(pfor.encode_segment([5, -1, 7], lengths, values))
+    assert doc_ids.tolist() == [5, -1, 7] and found.tolist() == lengths and (back == values).all()
+
+
+@pytest.mark.parametrize("weights", [{"a": 5, "b": 0.01, "c": 4.99}, {f"s{i}": i * i + 0.1 for i in range(30)}])
+def test_frame_deviates_by_less_than_a_block(weights):
+    slots = mixing.shares_of_frame(weights, 1000)
+    frame, taken = sum(slots.values()), dict.fromkeys(slots, 0)
+    for t, (source, _, release, deadline, slot) in enumerate(mixing.frame_schedule(slots), 1):
+        taken[source] += 1
+        assert release <= slot < deadline and slot == t - 1
+        assert all(abs(taken[s] - slots[s] * t / frame) < 1 for s in slots)
+
+
+def test_mixing(spark, docs, none):
+    weights = mixing.capped_weights(docs, 0.4)
+    rows = mixing.schedule(docs, weights, block_docs=2).collect()
+    assert len(rows) == len(ROWS)
+    for source in weights:
+        own = sorted((r.slot, r.doc_id is not None, r.doc_id or 0) for r in rows if r.source == source)
+        assert [x[1:] for x in own] == sorted(x[1:] for x in own)  # in doc_id order
+        blocks = Counter(r.block for r in rows if r.source == source)
+        assert all(n == 2 for b, n in blocks.items() if b < max(blocks))
+    assert all(r.release <= r.slot < r.deadline for r in rows)
+    big = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.expr("if(id % 2 = 0, 'a', concat('b', id % 3))").alias("source"))
+    kept = mixing.mix(big, mixing.capped_weights(big, 0.3)).groupBy("source").count().collect()
+    counts = {r[0]: r[1] for r in kept}
+    assert counts["a"] == 215 and sum(counts.values()) - counts["a"] == 500
+    assert mixing.mix(none, {"a": 1.0}).columns == docs.columns
+
+
+PAGE = """<html><head><title>no</title><script>var t="</p>";</script></head><body><header><h1>Site</h1></header>
+<nav><a href=1>Home</a></nav><div class="ad">Buy this and that, it is the best of all the things in the world.</div>
+<article><h1>Title &amp; more</h1><p><b>First paragraph of the text,<br>with a break.<p>Short.</article>
+<div id="comments"><p>I think that this is the best of all the articles that I have read in my life.</div>
+<footer>&copy; me</footer>"""
+
+
+def test_main_text(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "u", "")], "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_chars) for r in html.extract(pages.withColumn("text", F.lit("x"))).collect()}
+    text = "Title & more\n\nFirst paragraph of the text, with a break.\n\nShort."
+    assert got == {1: (text, len(text)), 2: ("", 0), 3: ("", 0)}
+    assert html.extract(pages.limit(0)).count() == 0
+    assert html.main_text("<p title='" * 2000) is not None
+
+
+def base(text):
+    found = []
+    patterns = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+        ("card", r"[0-9]([\x20-]?[0-9])+"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    )
+    for rank, (kind, pattern) in enumerate(patterns):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(c) if j % 2 == 0 else sum(divmod(2 * int(c), 10)) for j, c in enumerate(digits[::-1]))
+            good = {
+                "email": True,
+                "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")),
+                "card": 14 <= len(digits) <= 19 and luhn % 10 == 0,
+                "phone": 10 <= len(digits) <= 15,
+            }[kind]
+            if good:
+                found.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
+    return ",".join(x[2] for x in sorted(found))
+
+
+@pytest.mark.parametrize(
+    "text", ["a@b.c@d.e", "@x.y a@b", "x@y.z.@w.w", "1.2.3.4.5.6.7.8 999.1.1.1", "+1 (234) 567-8901.", "a@@b.c a@b.c..d@e.f", ROWS[6][1]]
+)
+def test_base_spans(text):
+    assert ",".join(f"{k}:{a}:{b}" for k, a, b in pii.base_spans(text)) == base(text)
+
+
+def test_personal_data(spark, docs, none):
+    got = {r.doc_id: r for r in pii.find(docs).collect()}
+    for doc_id, text, _ in ROWS:
+        assert got[doc_id].base_sha256 == hashlib.sha256(base(text or "").encode()).hexdigest()
+    assert pii.find(none).count() == 0
+    told = [(i, f"call Quux about {i} at quux@corp.example now") for i in range(6)] + [(i, f"plain text about {i}") for i in range(6, 30)]
+    rows = pii.find(spark.createDataFrame(told, "doc_id long, text string")).collect()
+    spans = {r.doc_id: [told[r.doc_id][1][slice(*map(int, s.split(":")[1:]))] for s in r.spans.split(",") if s] for r in rows}
+    assert "Quux" in spans[0] and "about" not in spans[0] and not spans[10]
+    assert pii.sanitise("call Quux at q@c.ex now", "term:5:9,email:13:19") == "call [TERM] at [EMAIL] now"
