@@ -168,3 +168,34 @@ def test_streams_with_their_own_settings(spark):
         ("hourly", "a", 6),
         ("hourly", "b", 2),
     ]
+
+
+def _top(service, stream="c"):
+    return {r["key"]: r["n"] for r in service.top_keys("s", stream, DAY1, DAY3, 9, as_of=DAY3).collect()}
+
+
+def test_a_callers_batch_number_hides_nothing(spark):
+    service = LogAnalytics(spark, fresh_folder(spark, "service"), depth=2, width=1024)
+    service.insert(records(spark, [("a", "2013-05-09 10:00:00", None)]))
+    service.seal(DAY3)
+    service.insert(records(spark, [("b", "2013-05-09 10:00:00", None)], collection="new"), batch=7)
+    assert _top(service, "new") == {"b": 1}
+
+
+def test_a_reused_seal_name_loses_nothing(spark):
+    service = LogAnalytics(spark, fresh_folder(spark, "service"), depth=2, width=1024)
+    service.insert(records(spark, [("a", "2013-05-09 10:00:00", None)]))
+    service.seal(DAY2, name="daily")
+    service.insert(records(spark, [("b", "2013-05-10 10:00:00", None)]))
+    service.seal(DAY3, name="daily")
+    assert _top(service) == {"a": 1, "b": 1}
+
+
+def test_progress_goes_on_after_close(spark):
+    service = LogAnalytics(spark, fresh_folder(spark, "service"), depth=2, width=1024)
+    service.insert(records(spark, [("a", "2013-05-09 10:00:00", None)]))
+    service.close()
+    service.insert(records(spark, [("b", "2013-05-10 10:00:00", None)]))
+    service.seal("20130520T000000")
+    assert service._pending().count() == 0
+    assert _top(service) == {"a": 1, "b": 1}

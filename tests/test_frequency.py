@@ -98,3 +98,9 @@ def test_events_per_window_has_no_empty_windows(spark):
     rec = records(spark, repeated("2013-05-09", a=3) + repeated("2013-05-12", a=1))
     counts = frequency.event_counts(windows.assign_windows(rec))
     assert rows(counts, "n_events") == [(1,), (3,)]
+
+
+def test_a_configured_list_may_be_longer_than_the_default(spark):
+    one = "'s' service, 'c' collection, timestamp'2024-01-01' window_start, timestamp'2024-01-02' window_end"
+    counts = spark.range(3000).selectExpr("cast(id as string) key", "id + 1 n", "2000 topk_max_count", *one.split(", "))
+    assert frequency.configured_top_list(counts).count() == 2000

@@ -28,7 +28,12 @@ from tidemark.sources.labelstore import LabelStore
 from tidemark.sources.store import WindowStore
 
 _LOG = StructType(
-    [*RECORD.fields, StructField("day", StringType()), StructField("batch", LongType())]
+    [
+        *RECORD.fields,
+        StructField("arrived", LongType()),
+        StructField("day", StringType()),
+        StructField("batch", LongType()),
+    ]
 )
 _PROGRESS = "as_of timestamp, batch bigint"
 _FAR = "99991231T000000"
@@ -82,11 +87,16 @@ class LogAnalytics:
     def insert(self, records: DataFrame, batch: int | None = None) -> None:
         """Append log records, with or without attributes.
 
-        Inserting again under the same batch number replaces the records of that batch.
+        Inserting again under the same batch number replaces the records of that batch. The number says
+        nothing about when they came: that is noted beside it, and decides what a seal has covered.
         """
         number = _clock() if batch is None else batch
         placed = records.select(*RECORD.names).withColumns(
-            {"day": F.date_format("ts", "yyyyMMdd"), "batch": F.lit(number).cast("long")}
+            {
+                "arrived": F.lit(_clock()).cast("long"),
+                "day": F.date_format("ts", "yyyyMMdd"),
+                "batch": F.lit(number).cast("long"),
+            }
         )
         (
             placed.hint("rebalance", "day")
@@ -111,6 +121,8 @@ class LogAnalytics:
         self._seal_pending(name or f"close-{_clock()}", None)
 
     def _seal_pending(self, name: str, as_of: Moment | None) -> None:
+        if not self.store.catalog().filter(F.col("seal") == name).isEmpty():
+            return  # a completed seal is left alone, and what came since stays pending
         batch = _clock()
         windowed = self._windowed(self._pending())
         self.store.seal_records(self.store.unsealed(windowed), name, as_of)
@@ -124,14 +136,14 @@ class LogAnalytics:
         """Logged records that the last seal has not covered, by day and insert."""
         log = self.records()
         noted = self.spark.read.schema(_PROGRESS).parquet(self._progress_path)
-        last = noted.agg(F.max(F.struct("as_of", "batch")).alias("last")).select(
+        last = noted.agg(F.max(F.struct("batch", "as_of")).alias("last")).select(
             F.date_format(times.later(F.col("last.as_of"), -self.longest_ms), "yyyyMMdd").alias("day"),
             F.col("last.batch").alias("batch"),
         )
         reached = last.first()
         if reached["day"] is not None:
             log = log.filter(
-                (F.col("day") >= F.lit(reached["day"])) | (F.col("batch") > F.lit(reached["batch"]))
+                (F.col("day") >= F.lit(reached["day"])) | (F.col("arrived") > F.lit(reached["batch"]))
             )
         return log.select(*RECORD.names)
 

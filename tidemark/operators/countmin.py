@@ -70,5 +70,5 @@ def _placed(rows: DataFrame, columns: list[str], depth: int, width: int | Column
     The arrays are never empty, so the outer form changes no result; it keeps Spark from deriving
     an is-not-empty filter and hashing every record below the aggregation to evaluate it.
     """
-    buckets = rows.withColumn("__buckets", sketch_buckets(F.col("key"), depth, width))
+    buckets = rows.withColumn("__buckets", sketch_buckets(F.coalesce("key", F.lit("")), depth, width))
     return buckets.select(*columns, F.posexplode_outer("__buckets").alias("i", "b"))

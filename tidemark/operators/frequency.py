@@ -39,9 +39,14 @@ def top_list(counts: DataFrame, capacity: int = TOP_LIST_CAPACITY) -> DataFrame:
     return top_per_group(counts, STREAM_WINDOW, by_count(), capacity)
 
 
-def configured_top_list(counts: DataFrame, max_capacity: int = TOP_LIST_CAPACITY) -> DataFrame:
-    """Top lists cut at every stream's own ``topk_max_count``, none above ``max_capacity``."""
-    return top_list(counts, max_capacity).filter(F.col("rk") <= F.col("topk_max_count"))
+def configured_top_list(counts: DataFrame, largest: int | None = None) -> DataFrame:
+    """Top lists cut at every stream's own ``topk_max_count``, whatever it is.
+
+    ``largest`` is the largest of these numbers, for the first cut; it is looked up if not given.
+    """
+    if largest is None:
+        largest = counts.agg(F.max("topk_max_count")).first()[0] or 0
+    return top_list(counts, largest).filter(F.col("rk") <= F.col("topk_max_count"))
 
 
 def top_keys(rows: DataFrame, k: int) -> DataFrame:

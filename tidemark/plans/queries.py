@@ -242,7 +242,8 @@ def config_toplist(spark: SparkSession, sf_dir: str) -> DataFrame:
     limited = windows.with_config(
         counts, _config(spark), {"topk_max_count": TOP_LIST_CAPACITY}
     )
-    top = frequency.configured_top_list(limited)
+    largest = _config(spark).agg(F.max("topk_max_count")).first()[0]
+    top = frequency.configured_top_list(limited, max(largest, TOP_LIST_CAPACITY))
     return _ranked(windows.with_label(top).drop("topk_max_count"))
 
 
