@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import records, rows
 from tidemark import LogAnalytics
@@ -199,3 +200,36 @@ def test_progress_goes_on_after_close(spark):
     service.seal("20130520T000000")
     assert service._pending().count() == 0
     assert _top(service) == {"a": 1, "b": 1}
+
+
+def test_late_records_count_in_the_open_window(spark):
+    service = LogAnalytics(spark, fresh_folder(spark, "service"), depth=2, width=1024, late="open")
+    early = records(spark, [("a", "2013-05-08 10:00:00", None)])
+    service.insert(early)
+    service.seal(DAY3)
+    late = records(spark, [("a", "2013-05-08 11:00:00", None), ("b", "2013-05-08 12:00:00", None)])
+    service.insert(late, batch=3)
+    begin, end = DAY3, "20130512T000000"
+    ask = lambda: {r["key"]: r["n"] for r in service.top_keys("s", "c", begin, end, 9, as_of=end).collect()}
+    assert ask() == {"a": 1, "b": 1}  # the window the seal left open
+    assert service.late_records().count() == 2
+    service.seal(end)
+    assert ask() == {"a": 1, "b": 1}
+    service.insert(late, batch=3)  # a repeat of what is counted
+    service.seal(end)
+    assert ask() == {"a": 1, "b": 1}
+
+
+def test_records_without_names_or_time_are_kept_once(spark):
+    service = LogAnalytics(spark, fresh_folder(spark, "service"), depth=2, width=1024)
+    nameless = records(spark, [("x", "2013-05-09 10:00:00", None)]).withColumns(
+        {name: F.lit(None).cast("string") for name in ("service", "collection", "key")}
+    )
+    service.insert(nameless)
+    service.seal(DAY3)
+    service.seal(DAY3)
+    assert service.store.catalog().count() == 1
+    assert rows(service.top_keys("", "", DAY1, DAY3, 9, DAY3), "key", "n") == [("", 1)]
+    untimed = records(spark, [("now", "2013-05-09", None)])
+    service.insert(untimed.withColumn("ts", F.lit(None).cast("timestamp")))
+    assert rows(service.current_top_keys("s", "c", 9)) == [("now", 1)]

@@ -41,3 +41,12 @@ def test_stored_labels(spark, hits):
     assert rows(store.totals()) == [("c2", "red", 8)]
     store.add(hits, 5)
     assert rows(store.totals()) == [("c1", "blue", 1), ("c1", "red", 5), ("c2", "red", 12)]
+
+
+def test_a_callers_number_does_not_hide_labels(spark, hits):
+    store = LabelStore(spark, fresh_folder(spark, "labels"))
+    store.add(hits)
+    store.drop("c1")
+    store.add(hits, 5)
+    store.add(hits, 5)
+    assert rows(store.labels_of("c1"), "label_name", "hit_docs_num") == [("blue", 1), ("red", 5)]

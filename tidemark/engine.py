@@ -16,13 +16,14 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
 from tidemark.functions import times
 from tidemark.functions.attributes import attribute
 from tidemark.functions.times import LABEL_STRPTIME, Moment, moment
 from tidemark.operators import distinct, frequency, values, windows
-from tidemark.schema import DAY_MS, RECORD, STREAM
+from tidemark.operators.joins import sized_join
+from tidemark.schema import DAY_MS, RECORD, STREAM, STREAM_WINDOW
 from tidemark.session import tune
 from tidemark.sources.labelstore import LabelStore
 from tidemark.sources.store import WindowStore
@@ -31,6 +32,7 @@ _LOG = StructType(
     [
         *RECORD.fields,
         StructField("arrived", LongType()),
+        StructField("sent", TimestampType()),
         StructField("day", StringType()),
         StructField("batch", LongType()),
     ]
@@ -43,7 +45,8 @@ class LogAnalytics:
     """Windowed analytics over the records kept below ``path``.
 
     ``config`` gives streams their own settings (see ``STREAM_CONFIG``); the slide length and offset
-    are for streams without.
+    are for streams without. ``late`` says what becomes of a record whose window is sealed when it
+    comes: ``leave`` keeps it in the log but in no answer, ``open`` counts it in the open window.
     """
 
     def __init__(
@@ -54,9 +57,13 @@ class LogAnalytics:
         offset_ms: int = 0,
         label: str = "start",
         config: DataFrame | None = None,
+        late: str = "leave",
         **store_options,
     ):
+        if late not in ("leave", "open"):
+            raise ValueError(f"late must be 'leave' or 'open', not {late!r}")
         self.spark = tune(spark)
+        self.late = late
         self.path = path.rstrip("/")
         self.defaults = {"start_time_ms": offset_ms, "slide_length_ms": slide_ms}
         self.label = label
@@ -89,17 +96,31 @@ class LogAnalytics:
 
         Inserting again under the same batch number replaces the records of that batch. The number says
         nothing about when they came: that is noted beside it, and decides what a seal has covered.
+
+        With ``late="open"`` a record whose window is sealed already counts in the window that is open
+        when it comes; ``sent`` keeps its own time. Repeating a batch that a seal has covered moves nothing, since
+        its records are counted. A null service, collection or key is the empty text, and a record
+        without time happens when it comes.
         """
-        number = _clock() if batch is None else batch
-        placed = records.select(*RECORD.names).withColumns(
+        arrived = _clock()
+        number = arrived if batch is None else batch
+        named = {name: F.coalesce(name, F.lit("")) for name in (*STREAM, "key")}
+        present = F.timestamp_micros(F.lit(arrived).cast("long"))
+        rows = records.select(*RECORD.names).withColumns(named | {"ts": F.coalesce("ts", present)})
+        rows = rows.withColumn("sent", F.col("ts"))
+        if self.late == "open" and not self.store.catalog().isEmpty():
+            if batch is None or not self._covered(batch):
+                rows = self._in_open_windows(rows)
+        placed = rows.withColumns(
             {
-                "arrived": F.lit(_clock()).cast("long"),
+                "arrived": F.lit(arrived).cast("long"),
                 "day": F.date_format("ts", "yyyyMMdd"),
                 "batch": F.lit(number).cast("long"),
             }
         )
         (
-            placed.hint("rebalance", "day")
+            placed.select(*_LOG.names)
+            .hint("rebalance", "day")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("day", "batch")
@@ -110,6 +131,42 @@ class LogAnalytics:
         """The record log."""
         return self.spark.read.schema(_LOG).parquet(self._log_path)
 
+    def late_records(self) -> DataFrame:
+        """Logged records that were moved to a later window than their own."""
+        return self.records().filter(F.col("sent") != F.col("ts")).select(*RECORD.names, "sent")
+
+    def _covered(self, batch: int) -> bool:
+        """Whether a seal came after the records logged under this number."""
+        last = self._progress().agg(F.max("batch")).first()[0]
+        logged = self.records().filter((F.col("batch") == batch) & (F.col("arrived") <= (last or 0)))
+        return not logged.isEmpty()
+
+    def _in_open_windows(self, rows: DataFrame) -> DataFrame:
+        """Move records of sealed windows to the first moment of their stream's open window.
+
+        That is the window the last seal left open, and in any case one behind all sealed ones.
+        """
+        if self.config is None:
+            sized = rows.withColumns({name: F.lit(value) for name, value in self.defaults.items()})
+        else:
+            sized = windows.with_config(rows, self.config, self.defaults)
+        slide, offset = F.col("slide_length_ms"), F.col("start_time_ms")
+        catalog = self.store.catalog()
+        sealed = catalog.select(*STREAM_WINDOW, F.lit(True).alias("late"))
+        newest = catalog.groupBy(*STREAM).agg(F.max("window_end").alias("open"))
+        marked = sized_join(windows.assign_windows(sized, slide, offset), sealed, STREAM_WINDOW)
+        marked = sized_join(marked, newest, STREAM)
+        noted = self._progress().filter(F.col("as_of") < moment(_FAR))
+        reached = noted.agg(times.format_label(F.max_by("as_of", "batch"))).first()[0]
+        now_open = F.col("open")
+        if reached is not None:
+            now_open = F.greatest(now_open, times.window_start(moment(reached), slide, offset))
+        moved = F.when(F.col("late"), now_open).otherwise(F.col("ts"))
+        return marked.withColumn("ts", moved).select(*rows.columns)
+
+    def _progress(self) -> DataFrame:
+        return self.spark.read.schema(_PROGRESS).parquet(self._progress_path)
+
     def seal(self, as_of: Moment | None = None, name: str | None = None) -> None:
         """Store all windows that are over and not stored yet."""
         as_of = _now(as_of)
@@ -135,8 +192,7 @@ class LogAnalytics:
     def _pending(self) -> DataFrame:
         """Logged records that the last seal has not covered, by day and insert."""
         log = self.records()
-        noted = self.spark.read.schema(_PROGRESS).parquet(self._progress_path)
-        last = noted.agg(F.max(F.struct("batch", "as_of")).alias("last")).select(
+        last = self._progress().agg(F.max(F.struct("batch", "as_of")).alias("last")).select(
             F.date_format(times.later(F.col("last.as_of"), -self.longest_ms), "yyyyMMdd").alias("day"),
             F.col("last.batch").alias("batch"),
         )

@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from tidemark.operators.joins import sized_join
 from tidemark.operators.labels import label_totals, labels_of
 
-_SCHEMA = "collection string, label_name string, hits bigint, dropped boolean, entry bigint"
+_SCHEMA = "collection string, label_name string, hits bigint, dropped boolean, arrived bigint, entry bigint"
 
 
 class LabelStore:
-    """Label totals below ``path``. Entries are numbered by time, so drops and adds have an order."""
+    """Label totals below ``path``.
+
+    Every entry notes when it came, which orders drops and adds; a caller's number only says what it
+    replaces. An entry written again keeps its place in that order.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
@@ -37,24 +41,32 @@ class LabelStore:
 
     def totals(self) -> DataFrame:
         """Total hits per collection and label since the collection was last dropped."""
-        entries = self.spark.read.schema(_SCHEMA).parquet(self.path)
+        entries = self._entries()
         drops = (
             entries.filter("dropped")
             .groupBy("collection")
-            .agg(F.max("entry").alias("dropped_at"))
+            .agg(F.max("arrived").alias("dropped_at"))
         )
         live = sized_join(entries.filter("not dropped"), drops, ["collection"])
         return label_totals(
-            live.filter(F.col("dropped_at").isNull() | (F.col("entry") > F.col("dropped_at")))
+            live.filter(F.col("dropped_at").isNull() | (F.col("arrived") > F.col("dropped_at")))
         )
 
     def labels_of(self, collection: str) -> DataFrame:
         return labels_of(self.totals(), collection)
 
+    def _entries(self) -> DataFrame:
+        return self.spark.read.schema(_SCHEMA).parquet(self.path)
+
     def _write(self, rows: DataFrame, entry: int | None) -> None:
-        number = time.time_ns() // 1000 if entry is None else entry
+        arrived = time.time_ns() // 1000
+        number = arrived if entry is None else entry
+        if entry is not None:
+            before = self._entries().filter(F.col("entry") == entry).agg(F.max("arrived")).first()[0]
+            arrived = arrived if before is None else before
         (
-            rows.withColumn("entry", F.lit(number).cast("long"))
+            rows.withColumn("arrived", F.lit(arrived).cast("long"))
+            .withColumn("entry", F.lit(number).cast("long"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("entry")
