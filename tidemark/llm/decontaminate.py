@@ -112,7 +112,10 @@ def _hits(
     # At most window - 1 numbers: the lengths of items too short for a window.
     short = sorted(row[0] for row in items.filter(F.col("n") < window).select("n").distinct().collect())
 
-    marks = written(_fingerprints(items, window, gram, short, "kept").select(F.explode("kept").alias("mark")).distinct(), "marks")
+    # Outer, or a filter on the size of the array is derived and pushed through every step of ``_runs``, which
+    # spells all of them out in one expression.
+    kept = _fingerprints(items, window, gram, short, "kept").select(F.explode_outer("kept").alias("mark"))
+    marks = written(kept.filter("mark IS NOT NULL").distinct(), "marks")
     read = docs.select(
         F.monotonically_increasing_id().alias("row"),
         id_key().alias("id"),
