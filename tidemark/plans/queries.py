@@ -43,6 +43,8 @@ KEY_ASKED = "6"
 IMPORT_SINCE = "20240110T000000"
 SLIDE_MS = 6 * 60 * 60 * 1000
 SLIDE_OFFSET_MS = 90 * 60 * 1000
+#: Rows per bucket of the ordered queries: small, so that small tables take the path that large ones do.
+CHECKED_BUCKET = 250
 SKETCH_WIDTH = 1024
 SKETCH_DEPTH = 3
 SKETCH_CAP = 1 << 30
@@ -172,7 +174,9 @@ def export_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
         "img", F.when(F.col("lang") == "de", "NULL").otherwise(F.col("lang"))
     )
     ready = export.exportable(docs, "doc_id", "text", "img", "source")
-    return export.export_page(ready, *PAGE, ids=docs.select(F.col("doc_id").alias("id")))
+    return export.export_page(
+        ready, *PAGE, rows_per_bucket=CHECKED_BUCKET, ids=docs.select(F.col("doc_id").alias("id"))
+    )
 
 
 # --- windows and listings ------------------------------------------------------------------------
@@ -220,7 +224,7 @@ def window_arrival_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     shuffled = tables.event_records(spark, sf_dir).withColumn(
         "seq", F.col("seq") - place + (block - 1 - place)
     )
-    dated = arrival.assign_arrival_windows(shuffled)
+    dated = arrival.assign_arrival_windows(shuffled, CHECKED_BUCKET)
     return windows.with_label(dated).select(*STREAM, "label", "key", "seq")
 
 
