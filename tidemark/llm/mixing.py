@@ -98,19 +98,25 @@ def _numbered(docs: DataFrame, source: str) -> DataFrame:
     )
 
 
-def capped_weights(docs: DataFrame, cap: float, source: str = "source") -> dict[str, float]:
-    """Every source's share of the documents, but at most ``cap`` for any: one number per source."""
+def capped_weights(docs: DataFrame, cap: float, source: str = "source") -> dict[str, Fraction]:
+    """Every source's share of the documents, but at most ``cap`` for any: one number per source.
+
+    With so few sources that they cannot all stay below ``cap``, it is one over their number. The shares are
+    exact and add up to one.
+    """
     name = F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE))
     counts = {row[0]: row[1] for row in docs.groupBy(name.alias("source")).count().collect()}
+    if not counts:
+        return {}
+    most = max(Fraction(cap), Fraction(1, len(counts)))
     capped: set[str] = set()
     while True:
         rest = sum(n for s, n in counts.items() if s not in capped)
-        left = 1 - cap * len(capped)
-        over = {s for s, n in counts.items() if s not in capped and rest and n * left > cap * rest}
-        if not over or left <= 0 or len(capped | over) * cap > 1 or len(capped | over) == len(counts):
-            break
+        left = 1 - most * len(capped)
+        over = {s for s, n in counts.items() if s not in capped and n * left > most * rest}
+        if not over:
+            return {s: most if s in capped else n * left / rest for s, n in counts.items()}
         capped |= over
-    return {s: cap if s in capped else n * left / rest for s, n in counts.items()}
 
 
 def schedule(
@@ -123,6 +129,12 @@ def schedule(
     source that the target weights hold, within one document. Slots go on beyond, for whoever wants all. A null source is the empty one, a null ``doc_id`` comes first, repeated rows
     follow each other. Sources without a weight raise an error.
     """
+    columns = ("source", "block", "release", "deadline", "slot", "in_mix")
+    return _scheduled(docs, weights, source, block_docs, frame).select(F.nullif("id", F.lit(NULL_ID)).alias("doc_id"), *columns)
+
+
+def _scheduled(docs: DataFrame, weights: dict[str, float], source: str, block_docs: int, frame: int) -> DataFrame:
+    """``schedule`` with the keys ``id`` and ``h`` of the documents."""
     spark = docs.sparkSession
     slots = shares_of_frame(weights, frame)
     length = sum(slots.values())
@@ -147,7 +159,8 @@ def schedule(
     )
     shift = F.col("round") * length
     return sized_join(blocks, plan, ["source", "j"], "inner").select(
-        F.nullif("id", F.lit(NULL_ID)).alias("doc_id"),
+        "id",
+        "h",
         "source",
         "block",
         (shift + F.col("release")).alias("release"),
@@ -172,3 +185,21 @@ def mix(docs: DataFrame, weights: dict[str, float], source: str = "source", bloc
     named = docs.withColumn("__source", F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)))
     kept = sized_join(named, written(last, "cut"), ["__source"], "inner").filter(id_key() <= F.col("__last"))
     return kept.select(*docs.columns)
+
+
+def in_order(
+    docs: DataFrame, weights: dict[str, float], source: str = "source", block_docs: int = BLOCK_DOCS, name: str = "mix_slot"
+) -> DataFrame:
+    """All rows of ``docs`` with the slot of their block as the column ``name``: the order of the mix.
+
+    Once a source has run out the others go on in their slots, so nothing is lost. Repeated rows get the slot of
+    the first of them.
+    """
+    if not weights and docs.isEmpty():
+        return docs.withColumn(name, F.lit(0).cast("long"))
+    slots = _scheduled(docs, weights, source, block_docs, FRAME).groupBy("id", "h", "source").agg(F.min("slot").alias(name))
+    slots = written(slots.withColumnsRenamed({"id": "__id", "h": "__h", "source": "__source"}), "slots")
+    keyed = docs.withColumns(
+        {"__id": id_key(), "__h": text_key(), "__source": F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE))}
+    )
+    return keyed.join(slots, ["__id", "__h", "__source"]).select(*docs.columns, name)

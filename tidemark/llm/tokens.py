@@ -1,6 +1,6 @@
-"""Token ids of a corpus in binary files, in ascending ``doc_id`` order.
+"""Token ids of a corpus in binary files, in ascending ``doc_id`` order or that of a given column.
 
-Texts are dealt to ranges of ``doc_id``, several per task, that follow the quantiles of the ids, so no
+Texts are dealt to ranges of that order, several per task, that follow its quantiles, so no
 range depends on how much one source holds. A task sorts its ranges, encodes them in order and
 writes segments of whole documents in the format of ``pfor``: rows of Parquet files whose ``data`` is a
 segment. Spark's writer commits them, so a lost executor leaves nothing half written, and a segment can be
@@ -92,19 +92,27 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_tokens(
-    docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, percentile: int = PERCENTILE
+    docs: DataFrame,
+    tokenizer: str,
+    folder: str,
+    end_id: int = END_ID,
+    percentile: int = PERCENTILE,
+    order: str | None = None,
 ) -> None:
     """Write the ids of every text, each followed by ``end_id``, to ``folder`` in ``doc_id`` order.
 
+    ``order`` names a column of whole numbers that goes before ``doc_id``; nulls in it come first.
+
     ``tokenizer`` is the path of a tokenizer file that every worker can read. Null texts are empty and so
     just an end id; a null ``doc_id`` comes first; rows with one ``doc_id`` follow each other by text.
     """
     spark = docs.sparkSession
     prepare(spark)
     count = partitions(spark)
-    points = split_ids(docs.select(id_key().alias("id")), "id", RANGES_PER_PARTITION * count)
-    keyed = with_range(docs.select(id_key().alias("id"), whole_text().alias("text")), "id", points, "range")
-    keyed.repartition(count, "range").sortWithinPartitions("range", "id", "text").mapInArrow(
+    rank = id_key(order or "doc_id").alias("rank")
+    points = split_ids(docs.select(rank), "rank", RANGES_PER_PARTITION * count)
+    keyed = with_range(docs.select(rank, id_key().alias("id"), whole_text().alias("text")), "rank", points, "range")
+    keyed.repartition(count, "range").sortWithinPartitions("range", "rank", "id", "text").mapInArrow(
         lambda it: _segments(it, tokenizer, end_id, percentile), SEGMENTS
     ).write.parquet(folder)
 
@@ -130,9 +138,9 @@ def read_tokens(spark, folder: str) -> DataFrame:
     )
 
 
-def token_ids(docs: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:
+def token_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, order: str | None = None) -> DataFrame:
     """Write the ids of ``docs`` to a new folder and return what reading the files back gives."""
     spark = docs.sparkSession
     folder = folder or fresh_folder(spark, "tokens")
-    write_tokens(docs, tokenizer, folder)
+    write_tokens(docs, tokenizer, folder, order=order)
     return read_tokens(spark, folder)
