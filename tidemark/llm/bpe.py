@@ -4,6 +4,9 @@ Byte-level BPE first cuts a text by a fixed pattern and never merges across the
 told from two neighbouring bytes: before white space that follows something else, after a lone line
 feed, and between an ASCII letter and punctuation. The pieces between those cuts are encoded on their own,
 with the same ids as in the text.
+
+A tokenizer's added tokens, such as an end-of-text mark, are looked for in the text before that pattern. A text that
+holds one is encoded whole.
 """
 
 from __future__ import annotations
@@ -55,13 +58,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.feed = self._plain("\n")
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content.encode() for t in added if t.content]
+        # Where the normalised text is searched, the text itself does not show what is found.
+        self.hidden = self.tokenizer.normalizer is not None and any(t.normalized for t in added)
+        self.feed = [] if any(b"\n" in t for t in self.added) else self._plain("\n")
         self.known: dict[bytes, bytes] = {}
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _bytes(self, piece: bytes) -> bytes:
+        return np.array(self._plain(piece.decode()), "<u4").tobytes()
+
     def _learn(self, pieces: list[bytes]) -> None:
         joinable = [p for p in pieces if len(p.split()) == 1 and p.strip() == p.lstrip(b" ") and p[:2] != b"  "]
         if len(self.feed) == 1:
@@ -79,20 +88,41 @@ class Encoder:
         for piece, found in zip(rest, self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)):
             self.known[piece] = np.array(found.ids, "<u4").tobytes()
 
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts may hold an added token."""
+        found = np.full(len(offsets) - 1, self.hidden)
+        if self.hidden or not len(data):
+            return found
+        raw = data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                text = int(np.searchsorted(offsets, at, "right")) - 1
+                inside = at + len(token) <= offsets[text + 1]
+                found[text] |= inside
+                at = raw.find(token, int(offsets[text + 1]) if inside else at + 1)
+        return found
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text begins among them."""
-        places = cuts(data, offsets)
+        whole, places = self._whole(data, offsets), cuts(data, offsets)
+        if whole.any():
+            kept = ~np.append(whole, False)[np.searchsorted(offsets, places, "right") - 1]
+            places = places[kept | np.isin(places, offsets)]
         if len(places) < 2:
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
         pieces = pa.Array.from_buffers(
             pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
         ).dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
+        own: dict[bytes, bytes] = {}
+        if whole.any():
+            own = {p: self._bytes(p) for p in distinct if self.hidden or any(t in p for t in self.added)}
         if len(self.known) + len(distinct) > REMEMBERED:
             self.known = {}
-        if missing := [p for p in distinct if p not in self.known]:
+        if missing := [p for p in distinct if p not in self.known and p not in own]:
             self._learn(missing)
-        codes = [self.known[p] for p in distinct]
+        codes = [own[p] if p in own else self.known[p] for p in distinct]
         ids = np.frombuffer(b"".join(codes), "<u4")
         lengths = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
         begin = np.cumsum(lengths) - lengths
