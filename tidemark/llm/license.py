@@ -154,9 +154,13 @@ def _matches(index: Index, words: list[int], hits: list[tuple[int, int, int]], l
         size = len(index.words[template])
         low = max(0, diagonal - BAND)
         part = words[low : diagonal + size + BAND]
-        matched, first, end = align(index.words[template], part, diagonal - low)
-        if matched >= least * size:
+        # The band may cover several copies: what one has taken is masked before the next is looked for.
+        while True:
+            matched, first, end = align(index.words[template], part, diagonal - low)
+            if not matched or matched < least * size:
+                break
             found.add((template, matched, low + first, low + end))
+            part[first:end] = [-1] * (end - first)
     kept: list[tuple[int, int, int, int]] = []
     taken: set[int] = set()
     for match in sorted(found, key=lambda m: (-m[1], m[2], m[0])):
