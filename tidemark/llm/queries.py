@@ -10,11 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import (
+    audit,
     decontaminate,
     html,
     license,
+    merkle,
     mixing,
     multiset,
+    packing,
     pii,
     simhash,
     substring,
@@ -25,6 +28,7 @@ from tidemark.llm import (
 #: No source may make up more of the mix than this; the others keep their proportions.
 LARGEST_SHARE = 0.25
 TOKENIZER = "byte_bpe_50k.json"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -78,6 +82,18 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.check_tampered(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_substring_dedup,
@@ -90,6 +106,9 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_mixing,
         op9_main_text,
         op10_personal_data,
+        op11_manifest,
+        op12_filter_audit,
+        op13_packing,
     )
     return {query.__name__: query for query in every}
 
@@ -145,6 +164,110 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM doc_words d LEFT JOIN hit_words h ON d.doc_id = h.doc_id LEFT JOIN hit_items t ON d.doc_id = t.doc_id
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE crc_table AS (
+    SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS entry
+    FROM (SELECT unnest(range(256)) AS i)
+), tampered AS (
+    SELECT doc_id, source, lang, n_chars, text,
+           coalesce(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                    lambda x: CAST(ascii(x) AS BIGINT))), lambda c, x: xor(c >> 8, entry[(xor(c, x) & 255) + 1])), 4294967295) % 5 = 0, false) AS hit
+    FROM documents, crc_table
+), fields AS (
+    SELECT doc_id, source AS tree, text, hit, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-')
+           || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+           || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head,
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+    FROM tampered
+), hashed AS (
+    SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+           CASE WHEN hit THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS changed
+    FROM fields
+), leaves AS (
+    SELECT doc_id, tree, leaf, coalesce(changed, leaf) AS found,
+           row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+           count(*) OVER (PARTITION BY tree) AS n
+    FROM hashed
+), nodes AS (
+    SELECT tree, 0 AS depth, place, n, leaf AS h FROM leaves
+    UNION ALL
+    SELECT tree, depth + 1, place // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY place))
+    FROM nodes WHERE n > 1 GROUP BY tree, depth, place // 16, n
+), subroots AS (
+    SELECT tree, h, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1
+), crown AS (
+    SELECT 0 AS depth, place, n, h FROM subroots
+    UNION ALL
+    SELECT depth + 1, place // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY place)) FROM crown WHERE n > 1 GROUP BY depth, place // 16, n
+), around AS (
+    SELECT tree, depth, place,
+           coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+           coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+    FROM nodes WHERE n > 1 WINDOW w AS (PARTITION BY tree, depth, place // 16 ORDER BY place)
+), crown_around AS (
+    SELECT depth, place,
+           coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+           coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+    FROM crown WHERE n > 1 WINDOW w AS (PARTITION BY depth, place // 16 ORDER BY place)
+), climb AS (
+    SELECT doc_id, tree, leaf, 0 AS depth, place, n, found AS h, '' AS proof FROM leaves
+    UNION ALL
+    SELECT doc_id, c.tree, leaf, c.depth + 1, c.place // 16, (n + 15) // 16, sha256(before || h || after), proof || before || after
+    FROM climb c JOIN around a ON a.tree IS NOT DISTINCT FROM c.tree AND a.depth = c.depth AND a.place = c.place WHERE n > 1
+), crown_climb AS (
+    SELECT doc_id, leaf, s.h AS subroot, 0 AS depth, s.place, s.n, c.h, proof
+    FROM climb c JOIN subroots s ON s.tree IS NOT DISTINCT FROM c.tree WHERE c.n = 1
+    UNION ALL
+    SELECT doc_id, leaf, subroot, c.depth + 1, c.place // 16, (n + 15) // 16, sha256(before || h || after), proof || before || after
+    FROM crown_climb c JOIN crown_around a ON a.depth = c.depth AND a.place = c.place WHERE n > 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, c.h AS folded_root, c.h = root AS verified
+FROM crown_climb c, (SELECT h AS root FROM crown WHERE n = 1) WHERE c.n = 1
+"""
+
+OP12_SQL = r"""
+WITH marks AS (
+    SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+    FROM labels GROUP BY doc_id
+), texts AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+           min(coalesce(doc_id, -9223372036854775808)) OVER (PARTITION BY coalesce(text, '')) AS first
+    FROM documents
+), failed AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+           CASE WHEN len(w) < 100 THEN 1 ELSE 0 END AS a,
+           CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 1 ELSE 0 END AS b,
+           CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 1 ELSE 0 END AS c,
+           CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 1 ELSE 0 END AS d,
+           CASE WHEN coalesce(texts.doc_id, -9223372036854775808) > first THEN 1 ELSE 0 END AS e
+    FROM texts LEFT JOIN marks ON texts.doc_id = marks.doc_id
+), sets AS (
+    SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY ALL
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit
+), orders AS (
+    SELECT p.f || q.f || r.f || s.f || u.f AS filter_order, [p.bit, q.bit, r.bit, s.bit, u.bit] AS bits
+    FROM letters p, letters q, letters r, letters s, letters u
+    WHERE p.bit + q.bit + r.bit + s.bit + u.bit = 31 AND len(list_distinct([p.bit, q.bit, r.bit, s.bit, u.bit])) = 5
+), steps AS (
+    SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0) AS before
+    FROM (SELECT filter_order, bits, unnest(range(1, 6)) AS step FROM orders)
+), results AS (
+    SELECT part, filter_order, step, bit,
+           sum(CASE WHEN fails & (CAST(before AS INTEGER) | bit) = 0 THEN n ELSE 0 END) AS kept,
+           sum(CASE WHEN fails & bit <> 0 AND fails & CAST(before AS INTEGER) = 0 THEN n ELSE 0 END) AS removed,
+           sum(CASE WHEN fails & bit <> 0 AND fails & CAST(before AS INTEGER) <> 0 THEN n ELSE 0 END) AS redundant,
+           sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN fails & bit <> 0 AND fails & CAST(before AS INTEGER) = 0 THEN good ELSE 0 END) AS good_lost,
+           sum(CASE WHEN fails & bit <> 0 AND fails & CAST(before AS INTEGER) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+    FROM sets, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM results
+"""
+
 
 def llm_oracles() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op6_decontaminate": OP6_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op6_decontaminate": OP6_SQL, "op11_manifest": OP11_SQL, "op12_filter_audit": OP12_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +15,9 @@ WORD_MULTIPLIER = np.uint64(0xC2B2AE3D27D4EB4F)
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 
+#: Texts beyond this are taken in parts where whole lists of their words would be large.
+PIECE_BYTES = 1 << 22
+
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -130,3 +134,15 @@ def spaced(words: Words) -> Words:
         filled[end] = False
         data[filled] = words.data[np.cumsum(change[:-1], dtype=np.int8).astype(bool)]
     return Words(data, end - lengths + 1, end, words.first)
+
+
+def pieces(raw: bytes, most: int = PIECE_BYTES) -> Iterator[bytes]:
+    """``raw`` in parts of at least ``most`` bytes that end after ASCII white space: the words of the parts are its words."""
+    at = 0
+    while len(raw) - at > most:
+        end = at + most
+        while end < len(raw) and raw[end] not in b" \t\n\v\f\r":
+            end += 1
+        yield raw[at:end]
+        at = end
+    yield raw[at:] if at else raw
