@@ -11,12 +11,13 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 
 #: Words remembered before the older half is dropped; bounds memory, never results.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 #: Fixed value: the pattern by which these vocabularies cut words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Lower-case letters a-z and U+00DF to U+00FF, then ASCII signs other than the apostrophe.
@@ -30,6 +31,10 @@ def _byte_letters() -> dict[int, int]:
     return {b: b if b in printable else 0x100 + others.index(b) for b in range(256)}
 
 
+def _packed(tokens: list) -> bytes:
+    return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+
 class _Memory(dict):
     """Ids of words, learned when first asked for; the older half goes when the newer one is full."""
 
@@ -79,12 +84,14 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, word: bytes) -> bytes:
+        # Most words are ASCII letters, alone or with one sign; ``words`` come lower-cased unless a mark is near.
+        if word.isalpha() and word.islower():
+            return _packed(self.model.tokenize(word.decode()))
         if found := _PLAIN.fullmatch(word):
             stem, signs = found.groups()
             if signs:
                 return self.known[stem] + self.known[signs]
-            tokens = self.model.tokenize(stem.decode("latin-1").translate(self.letters))
-            return np.array([t.id for t in tokens], "<u4").tobytes()
+            return _packed(self.model.tokenize(stem.decode("latin-1").translate(self.letters)))
         return self._whole(word)
 
     def encode(self, pieces: Iterator[bytes]) -> bytes:
