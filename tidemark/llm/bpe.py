@@ -11,13 +11,15 @@ holds one is encoded whole.
 
 from __future__ import annotations
 
+import json
 import os
+import struct
 
 import numpy as np
 import pyarrow as pa
 
-#: Pieces a worker remembers before it starts anew; bounds memory, never results.
-REMEMBERED = 600_000
+#: Pieces a worker remembers before the older half goes; bounds memory, never results.
+REMEMBERED = 1_000_000
 #: Id of a line feed in joined pieces, found when a tokenizer is loaded.
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
@@ -63,7 +65,16 @@ class Encoder:
         # Where the normalised text is searched, the text itself does not show what is found.
         self.hidden = self.tokenizer.normalizer is not None and any(t.normalized for t in added)
         self.feed = [] if any(b"\n" in t for t in self.added) else self._plain("\n")
+        shape = json.loads(self.tokenizer.to_str())
+        # The model alone knows words of byte letters; U+0120 stands for the space.
+        cut = shape["pre_tokenizer"] or {}
+        self.spaced = (
+            shape["normalizer"] is None
+            and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) == ("ByteLevel", False, True)
+            and not any(t.strip().isalpha() for t in self.added)
+        )
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -72,6 +83,13 @@ class Encoder:
         return np.array(self._plain(piece.decode()), "<u4").tobytes()
 
     def _learn(self, pieces: list[bytes]) -> None:
+        if self.spaced:
+            # One run of ASCII letters behind a space is one piece to the tokenizer too.
+            words = [p for p in pieces if p[0] == 0x20 and p[1:].isalpha()]
+            for piece in words:
+                found = self.tokenizer.model.tokenize("\u0120" + piece[1:].decode())
+                self.known[piece] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+            pieces = [p for p in pieces if p not in self.known]
         joinable = [p for p in pieces if len(p.split()) == 1 and p.strip() == p.lstrip(b" ") and p[:2] != b"  "]
         if len(self.feed) == 1:
             joined = [joinable[i : i + 512] for i in range(0, len(joinable), 512)]
@@ -118,8 +136,11 @@ class Encoder:
         own: dict[bytes, bytes] = {}
         if whole.any():
             own = {p: self._bytes(p) for p in distinct if self.hidden or any(t in p for t in self.added)}
-        if len(self.known) + len(distinct) > REMEMBERED:
-            self.known = {}
+        if len(self.known) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
+        for p in distinct:
+            if p not in self.known and p in self.older:
+                self.known[p] = self.older[p]
         if missing := [p for p in distinct if p not in self.known and p not in own]:
             self._learn(missing)
         codes = [own[p] if p in own else self.known[p] for p in distinct]

@@ -23,6 +23,8 @@ import numpy as np
 BLOCK = 256
 PERCENTILE = 95
 MAGIC = b"PFR1"
+HEAD_TYPE = np.dtype([("least", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
+HEAD = HEAD_TYPE.itemsize
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
@@ -30,10 +32,11 @@ def _widths(values: np.ndarray) -> np.ndarray:
     return np.where(values == 0, 0, np.floor(np.log2(np.maximum(values, 1))).astype(np.int64) + 1)
 
 
-def _blocks(ids: np.ndarray, percentile: int) -> list[bytes]:
+def _blocks(ids: np.ndarray, percentile: int) -> tuple[bytes, np.ndarray]:
+    """All blocks one after another, and the size of each."""
     count = -(-len(ids) // BLOCK)
     if not count:
-        return []
+        return b"", np.empty(0, np.int64)
     padded = np.full(count * BLOCK, ids[-1], np.int64)
     padded[: len(ids)] = ids
     table = padded.reshape(count, BLOCK)
@@ -42,15 +45,30 @@ def _blocks(ids: np.ndarray, percentile: int) -> list[bytes]:
     at = max(0, -(-BLOCK * percentile // 100) - 1)
     widths = _widths(np.partition(deltas, at, axis=1)[:, at])
     high = deltas >> widths[:, None]
-    out: list[bytes] = [b""] * count
-    for width in np.unique(widths).tolist():
+    row, place = np.nonzero(high)
+    exceptions = np.bincount(row, minlength=count)
+    bodies = BLOCK * widths // 8
+    sizes = HEAD + bodies + 6 * exceptions
+    starts = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.uint8)
+    heads = np.zeros(count, HEAD_TYPE)
+    heads["least"], heads["width"], heads["exceptions"] = least, widths, exceptions
+    out[starts[:, None] + np.arange(HEAD)] = heads.view(np.uint8).reshape(count, HEAD)
+    for width in np.unique(widths[widths > 0]).tolist():
         rows = np.flatnonzero(widths == width)
-        packed = _pack(deltas[rows], width)
-        for row, body in zip(rows.tolist(), packed):
-            places = np.flatnonzero(high[row])
-            head = np.uint32(least[row]).tobytes() + bytes([width]) + np.uint16(len(places)).tobytes()
-            out[row] = head + body.tobytes() + places.astype("<u2").tobytes() + high[row, places].astype("<u4").tobytes()
-    return out
+        packed = _pack(deltas[rows], width).view(np.uint8).reshape(len(rows), -1)
+        out[(starts[rows] + HEAD)[:, None] + np.arange(BLOCK * width // 8)] = packed
+    places, values = _exception_places(starts + HEAD + bodies, exceptions)
+    out[places[:, None] + np.arange(2)] = place.astype("<u2").view(np.uint8).reshape(-1, 2)
+    out[values[:, None] + np.arange(4)] = high[row, place].astype("<u4").view(np.uint8).reshape(-1, 4)
+    return out.tobytes(), sizes
+
+
+def _exception_places(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the place and the high bits of every exception stand, given where each block's exceptions begin."""
+    nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    begin = np.repeat(first, counts)
+    return begin + 2 * nth, begin + np.repeat(2 * counts, counts) + 4 * nth
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -82,18 +100,17 @@ def encode_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, pe
     """A segment of documents with ``lengths`` ids each, given one after another."""
     if len(ids) != int(np.sum(lengths)):
         raise ValueError("lengths do not add up to the ids")
-    blocks = _blocks(np.asarray(ids, np.int64), percentile)
-    sizes = np.fromiter(map(len, blocks), np.int64, len(blocks))
+    blocks, sizes = _blocks(np.asarray(ids, np.int64), percentile)
     return b"".join(
         [
             MAGIC,
             np.uint32(len(lengths)).tobytes(),
             np.uint64(len(ids)).tobytes(),
-            np.uint32(len(blocks)).tobytes(),
+            np.uint32(len(sizes)).tobytes(),
             np.asarray(doc_ids, "<i8").tobytes(),
             np.asarray(lengths, "<u4").tobytes(),
             (np.cumsum(sizes) - sizes).astype("<u4").tobytes(),
-            *blocks,
+            blocks,
         ]
     )
 
@@ -111,20 +128,18 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at += 12 * documents
     starts = np.frombuffer(data, "<u4", count, at).astype(np.int64) + at + 4 * count
     raw = np.frombuffer(data, np.uint8)
-    least = raw[starts[:, None] + np.arange(4)].astype(np.int64) @ (1 << 8 * np.arange(4)) if count else starts
-    widths = raw[starts + 4].astype(np.int64)
-    exceptions = raw[starts + 5].astype(np.int64) + (raw[starts + 6].astype(np.int64) << 8)
+    heads = raw[starts[:, None] + np.arange(HEAD)].reshape(-1).view(HEAD_TYPE)
+    least, widths, exceptions = (heads[name].astype(np.int64) for name in HEAD_TYPE.names)
     ids = np.zeros(count * BLOCK, np.int64)
     table = ids.reshape(count, BLOCK)
     for width in np.unique(widths).tolist():
         rows = np.flatnonzero(widths == width)
         if width:
-            packed = raw[(starts[rows] + 7)[:, None] + np.arange(BLOCK * width // 8)]
+            packed = raw[(starts[rows] + HEAD)[:, None] + np.arange(BLOCK * width // 8)]
             table[rows] = _unpack(packed.view("<u8"), width)
-    for row in np.flatnonzero(exceptions).tolist():
-        width, number = int(widths[row]), int(exceptions[row])
-        at = int(starts[row]) + 7 + BLOCK * width // 8
-        places = np.frombuffer(data, "<u2", number, at)
-        table[row, places] += np.frombuffer(data, "<u4", number, at + 2 * number).astype(np.int64) << width
+    places, values = _exception_places(starts + HEAD + BLOCK * widths // 8, exceptions)
+    row = np.repeat(np.arange(count), exceptions)
+    place = raw[places[:, None] + np.arange(2)].reshape(-1).view("<u2")
+    table[row, place] += raw[values[:, None] + np.arange(4)].reshape(-1).view("<u4").astype(np.int64) << widths[row]
     table += least[:, None]
     return doc_ids, lengths, ids[:tokens].astype(np.uint32)

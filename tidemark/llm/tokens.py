@@ -12,12 +12,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tidemark.llm.bpe import encoder
 from tidemark.llm.common import NULL_ID, id_key, partitions, prepare, slices, split_ids, whole_text, with_range
@@ -28,6 +28,8 @@ from tidemark.session import fresh_folder
 END_ID = 0
 RANGES_PER_PARTITION = 4
 SEGMENT_TOKENS = 1 << 18
+#: Texts encoded together; the more there are, the fewer pieces are looked up twice.
+SLICE_BYTES = 8 << 20
 SEGMENTS = "range int, segment int, first long, tokens long, data binary"
 ROWS = "doc_id long, range int, place long, n_tokens long, ids_crc32 long"
 
@@ -48,7 +50,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int, percent
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
             segment, first, held = segment + 1, first + len(ids), []
 
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE_BYTES):
         numbers = batch.column("range").to_numpy()
         for a, b in zip(*_edges(numbers)):
             if numbers[a] != current:
@@ -124,11 +126,10 @@ def read_tokens(spark, folder: str) -> DataFrame:
     """
     prepare(spark)
     files = spark.read.schema(SEGMENTS).parquet(folder)
-    # One row per range: as many as the writer's tasks times RANGES_PER_PARTITION.
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = files.groupBy("range").agg(F.sum("tokens").alias("tokens")).select(
-        "range", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base")
-    )
+    # One number per range: at most RANGES_PER_PARTITION times the writer's partitions.
+    totals = sorted(tuple(row) for row in files.groupBy("range").agg(F.sum("tokens")).collect())
+    ends = accumulate((tokens for _, tokens in totals), initial=0)
+    bases = spark.createDataFrame([(k, base) for (k, _), base in zip(totals, ends)], "range int, base long")
     rows = files.select("range", "first", "data").mapInArrow(_documents, ROWS)
     return rows.join(F.broadcast(bases), "range").select(
         F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"),
