@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import is_small
+
 #: Stands for a null doc_id where ids are compared.
 NULL_ID = -(2**63)
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -45,6 +47,41 @@ def text_key(column: str = "text") -> Column:
     return F.xxhash64(whole_text(column))
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``docs`` has it: for working columns beside a user's own."""
+    taken = {c.lower() for c in docs.columns}
+    free = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        free.append(name)
+    return free
+
+
+def own_columns(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` by their exact names, dots included."""
+    return [F.col(f"`{name}`") for name in docs.columns]
+
+
+def with_keys(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with ``id_key`` and ``text_key`` under names that are free, and these names."""
+    names = free_names(docs, "id", "h")
+    return docs.withColumns(dict(zip(names, (id_key(), text_key())))), names
+
+
+def among(docs: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` that are (``left_semi``) or are not (``left_anti``) among the keys ``id``, ``h`` of ``listed``.
+
+    Only a list whose counted rows allow it is broadcast. Else both sides meet on keys that single documents have, and
+    adaptive execution splits what repeated rows make large.
+    """
+    keyed, names = with_keys(docs)
+    keys = listed.select(*[F.col(a).alias(b) for a, b in zip(("id", "h"), names)])
+    keys = F.broadcast(keys) if is_small(keys) else keys
+    return keyed.join(keys, names, how).select(*own_columns(docs))
+
+
 def row_key(docs: DataFrame) -> Column:
     """``text_key``, or a constant where no two rows share a ``doc_id``: 8 bytes less to carry around."""
     shared = docs.select(id_key().alias("id")).groupBy("id").count().filter("count > 1")

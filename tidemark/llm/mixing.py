@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidemark.llm.common import NULL_ID, id_key, partitions, split_ids, text_key, with_range
+from tidemark.llm.common import NULL_ID, free_names, id_key, own_columns, partitions, split_ids, text_key, with_keys, with_range
 from tidemark.operators.joins import sized_join
 from tidemark.session import written
 
@@ -193,13 +193,15 @@ def in_order(
     """All rows of ``docs`` with the slot of their block as the column ``name``: the order of the mix.
 
     Once a source has run out the others go on in their slots, so nothing is lost. Repeated rows get the slot of
-    the first of them.
+    the first of them. A column of ``docs`` that has that name already gives way to the slot.
     """
+    docs = docs.drop(name)
     if not weights and docs.isEmpty():
         return docs.withColumn(name, F.lit(0).cast("long"))
     slots = _scheduled(docs, weights, source, block_docs, FRAME).groupBy("id", "h", "source").agg(F.min("slot").alias(name))
-    slots = written(slots.withColumnsRenamed({"id": "__id", "h": "__h", "source": "__source"}), "slots")
-    keyed = docs.withColumns(
-        {"__id": id_key(), "__h": text_key(), "__source": F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE))}
-    )
-    return keyed.join(slots, ["__id", "__h", "__source"]).select(*docs.columns, name)
+    keyed, keys = with_keys(docs)
+    (key,) = free_names(keyed, "source_key")
+    renamed = dict(zip(("id", "h", "source"), (*keys, key)))
+    slots = written(slots.withColumnsRenamed(renamed), "slots")
+    keyed = keyed.withColumn(key, F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)))
+    return keyed.join(slots, [*keys, key]).select(*own_columns(docs), name)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare, slices, whole_text
+from tidemark.llm.common import free_names, prepare, slices, whole_text
 from tidemark.llm.crf import CHAIN, Chain, train
 from tidemark.llm.words import MULTIPLIER, Words, gram_places, grams, mix, powers, split, text_bytes
 
@@ -375,13 +375,21 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, mod
 
 
 def _fine(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "__text"):
-        odds, _, _ = model.tag(_tokens(batch.column("__text")))
+    for batch in slices(batches, "text"):
+        odds, _, _ = model.tag(_tokens(batch.column("text")))
         kept = batch.filter(pa.array(model.score(odds) < threshold))
         yield kept.select(batch.schema.names[:-1])
 
 
 def keep_fine(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text scores below ``threshold``."""
+    """The rows of ``docs``, with all their columns, whose text scores below ``threshold``.
+
+    Null and empty texts have no toxic token and stay, rows that repeat are judged alike, an empty table stays
+    empty. Other columns are carried along, whatever their names.
+    """
     prepare(docs.sparkSession)
-    return docs.withColumn("__text", whole_text()).mapInArrow(lambda it: _fine(it, model, threshold), docs.schema)
+    # By place, since workers take no names with dots.
+    places = [str(i) for i in range(len(docs.columns))]
+    numbered = docs.withColumn(free_names(docs, "text_")[0], whole_text()).toDF(*places, "text")
+    kept = numbered.mapInArrow(lambda it: _fine(it, model, threshold), numbered.drop("text").schema)
+    return kept.toDF(*docs.columns)
