@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Pieces a worker remembers before the older half goes; bounds memory, never results.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Id of a line feed in joined pieces, found when a tokenizer is loaded.
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True

@@ -101,6 +101,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) ->
             size += length or 0
         if first < len(lengths):
             yield batch.slice(first)
+    # What the batches took goes back: workers live on between tasks.
+    pa.default_memory_pool().release_unused()
 
 
 def split_ids(df: DataFrame, column: str, buckets: int) -> list[int]:

@@ -29,7 +29,7 @@ END_ID = 0
 RANGES_PER_PARTITION = 4
 SEGMENT_TOKENS = 1 << 18
 #: Texts encoded together; the more there are, the fewer pieces are looked up twice.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 SEGMENTS = "range int, segment int, first long, tokens long, data binary"
 ROWS = "doc_id long, range int, place long, n_tokens long, ids_crc32 long"
 
