@@ -233,3 +233,16 @@ def test_records_without_names_or_time_are_kept_once(spark):
     untimed = records(spark, [("now", "2013-05-09", None)])
     service.insert(untimed.withColumn("ts", F.lit(None).cast("timestamp")))
     assert rows(service.current_top_keys("s", "c", 9)) == [("now", 1)]
+
+
+def test_frequent_keys_keep_their_bounds(spark):
+    service = LogAnalytics(spark, fresh_folder(spark, "frequent"), capacity=2, depth=1, width=16)
+    day = [("a", 5), ("b", 4), ("c", 3), ("d", 1)]
+    events = [(k, f"2013-05-{d:02} 0{i}:00:00", None) for d in (9, 10, 11) for k, n in day for i in range(n)]
+    service.insert(records(spark, events))
+    service.seal("20130511T000000")
+    found = service.frequent_keys("s", "c", "20130509T000000", "20130512T000000", 2, "20130511T120000").collect()
+    exact = {k: 3 * n for k, n in day}
+    assert [r.key for r in sorted(found, key=lambda r: -r["count"])] == ["a", "b"]
+    assert all(r["count"] - r["error"] <= exact[r.key] <= r["count"] for r in found)
+    assert all(exact[k] <= found[0].floor for k in ("c", "d"))

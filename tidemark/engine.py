@@ -21,7 +21,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType, Tim
 from tidemark.functions import times
 from tidemark.functions.attributes import attribute
 from tidemark.functions.times import LABEL_STRPTIME, Moment, moment
-from tidemark.operators import distinct, frequency, values, windows
+from tidemark.operators import distinct, frequency, spacesaving, values, windows
 from tidemark.operators.joins import sized_join
 from tidemark.schema import DAY_MS, RECORD, STREAM, STREAM_WINDOW
 from tidemark.session import tune
@@ -235,6 +235,26 @@ class LogAnalytics:
             raise ValueError(f"merge must be 'exact' or 'truncated', not {merge!r}")
         return frequency.top_keys_of_stream(parts.unionByName(recent), k).select("key", "n")
 
+    def frequent_keys(
+        self,
+        service: str,
+        collection: str,
+        begin: Moment,
+        end: Moment,
+        k: int,
+        as_of: Moment | None = None,
+    ) -> DataFrame:
+        """Most frequent keys of a range from the stored summaries: ``key``, ``count``, ``error`` and ``floor``.
+
+        Reads at most the capacity per window. A key occurred ``count - error`` to ``count`` times, and one that the
+        summary of the range does not list at most ``floor`` times.
+        """
+        live = frequency.key_counts(self._live(service, collection, begin, end, as_of))
+        stored = self._stored(self.store.frequent, service, collection, begin, end)
+        parts = stored.unionByName(spacesaving.summaries(live, self.store.capacity))
+        merged = spacesaving.merge(parts, self.store.capacity)
+        return merged.filter(F.col("rk") <= k).select("key", "count", "error", "floor")
+
     # --- distinct keys ---------------------------------------------------------------------------
 
     def current_distinct(

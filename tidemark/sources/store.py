@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.times import Moment, later, moment
-from tidemark.operators import countmin, distinct, frequency, values
+from tidemark.operators import countmin, distinct, frequency, spacesaving, values
 from tidemark.operators.joins import sized_join
 from tidemark.operators.windows import in_range, with_config
 from tidemark.schema import (
@@ -148,6 +148,14 @@ class WindowStore:
     def top_lists(self, begin=None, end=None, label: str = "start") -> DataFrame:
         return self._range("toplist", begin, end, label)
 
+    def frequent(self, begin=None, end=None, label: str = "start") -> DataFrame:
+        """The top lists as Space-Saving summaries; see :mod:`tidemark.operators.spacesaving`."""
+        lists = self.top_lists(begin, end, label)
+        if self.config is None:
+            return spacesaving.from_top_lists(lists, self.capacity)
+        limited = with_config(lists, self.config, {"topk_max_count": self.capacity})
+        return spacesaving.from_top_lists(limited, F.col("topk_max_count"))
+
     def distinct_sketches(self, begin=None, end=None, label: str = "start") -> DataFrame:
         return self._range("distinct", begin, end, label)
 
