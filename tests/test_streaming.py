@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tests.helpers import records, rows
 from tidemark.functions.times import format_label
 from tidemark.operators import frequency, labels, values, windows
-from tidemark.schema import RECORD, STREAM_CONFIG
+from tidemark.schema import RECORD
 from tidemark.session import ROCKSDB_STATE, fresh_folder
 from tidemark.sources.store import WindowStore
 from tidemark.streaming import labels as label_stream
@@ -45,7 +45,7 @@ def drain(spark, writer, checkpoint=None):
 
 def test_stream_equals_batch(spark, files):
     store = WindowStore(spark, fresh_folder(spark, "store"))
-    drain(spark, window_stream.seal_windows(source(spark, files), store, "log"))
+    drain(spark, window_stream.seal_windows(source(spark, files), store, "log", delay="0 seconds"))
     batch = windows.assign_windows(spark.read.schema(RECORD).parquet(files))
     whole = values.key_rollup(batch)
     sealed = rows(store.catalog(), start())
@@ -63,17 +63,17 @@ def test_stream_equals_batch(spark, files):
 
 def test_a_restarted_stream_goes_on(spark, files):
     store = WindowStore(spark, fresh_folder(spark, "store"))
-    checkpoint = drain(spark, window_stream.seal_windows(source(spark, files), store, "log"))
+    checkpoint = drain(spark, window_stream.seal_windows(source(spark, files), store, "log", delay="0 seconds"))
     more = [("d", "2013-05-12 01:00:00", None), ("d", "2013-05-13 01:00:00", None)]
     records(spark, more).coalesce(1).write.mode("append").parquet(files)
-    drain(spark, window_stream.seal_windows(source(spark, files), store, "log"), checkpoint)
+    drain(spark, window_stream.seal_windows(source(spark, files), store, "log", delay="0 seconds"), checkpoint)
     days = rows(store.catalog(), start())
     assert [day for (day,) in days] == [f"201305{d:02}T000000" for d in (9, 10, 11, 12)]
 
 
 def test_open_windows_are_kept_current(spark, files):
     path = fresh_folder(spark, "open")
-    drain(spark, window_stream.track_open_windows(source(spark, files), path))
+    drain(spark, window_stream.track_open_windows(source(spark, files), path, delay="0 seconds"))
     latest = window_stream.latest_counts(spark.read.parquet(path))
     batch = windows.assign_windows(spark.read.schema(RECORD).parquet(files))
     columns = ("window_start", "key", "n")
@@ -95,33 +95,6 @@ def test_running_label_totals(spark):
     assert changes.count() == 4
 
 
-def test_each_setting_has_its_own_windows(spark, files):
-    records(spark, [("x", "2013-05-09 01:30:00", None), ("x", "2013-05-09 03:00:00", None)],
-            collection="hourly").coalesce(1).write.mode("append").parquet(files)
-    config = spark.createDataFrame(
-        [("s", "hourly", 0, 3_600_000, None, None, None)], STREAM_CONFIG
-    )
-    stores = {}
-
-    def store(name):
-        return stores.setdefault(name, WindowStore(spark, fresh_folder(spark, "store")))
-
-    stream = spark.readStream.schema(RECORD).parquet(files)
-    for writer in window_stream.seal_configured_windows(stream, config, store, "log"):
-        drain(spark, writer)
-    assert len(stores) == 2
-    found = {
-        tuple(row)
-        for each in stores.values()
-        for row in each.catalog().select("collection", start()).collect()
-    }
-    assert found == {
-        ("hourly", "20130509T010000"),
-        ("c", "20130509T000000"),
-        ("c", "20130510T000000"),
-    }
-
-
 def test_the_cluster_state_store_gives_the_same_totals(spark):
     """State in RocksDB, as ``tune`` sets it outside local sessions."""
     schema = "collection string, label_name string, hits bigint"
@@ -139,9 +112,9 @@ def test_the_cluster_state_store_gives_the_same_totals(spark):
 
 def test_events_behind_the_watermark_do_not_reopen_a_window(spark, files):
     store = WindowStore(spark, fresh_folder(spark, "store"), depth=1, width=16)
-    checkpoint = drain(spark, window_stream.seal_windows(source(spark, files), store, "log"))
+    checkpoint = drain(spark, window_stream.seal_windows(source(spark, files), store, "log", delay="0 seconds"))
     sealed = rows(store.keys(), "window_start", "key", "n")
     late = [("late", "2013-05-09 03:00:00", None)]
     records(spark, late).coalesce(1).write.mode("append").parquet(files)
-    drain(spark, window_stream.seal_windows(source(spark, files), store, "log"), checkpoint)
+    drain(spark, window_stream.seal_windows(source(spark, files), store, "log", delay="0 seconds"), checkpoint)
     assert rows(store.keys(), "window_start", "key", "n") == sealed

@@ -1,28 +1,25 @@
-"""Structured Streaming: seal windows as the watermark passes, keep the open ones readable."""
+"""Structured Streaming: seal windows of one length as the watermark passes, keep the open ones readable."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidemark.functions.times import Moment, moment
-from tidemark.operators.windows import assign_windows, with_config
+from tidemark.operators.windows import assign_windows
 from tidemark.schema import DAY_MS, STREAM, STREAM_WINDOW
 from tidemark.session import written
 from tidemark.sources.store import WindowStore
 
-MAX_SETTINGS = 64
-
 
 def windowed_keys(
-    stream: DataFrame, slide_ms: int = DAY_MS, offset_ms: int = 0, delay: str = "0 seconds"
+    stream: DataFrame, slide_ms: int = DAY_MS, offset_ms: int = 0, *, delay: str
 ) -> DataFrame:
     """Per window and key: count and first-seen attributes, kept as streaming state.
 
-    Events more than ``delay`` behind the newest one are dropped by the watermark. Each micro-batch
+    Events more than ``delay`` behind the newest one are dropped by the watermark; :mod:`tidemark.streaming.sealing`
+    keeps them, and takes streams with settings of their own. Each micro-batch
     is pre-aggregated before it reaches the state, so a hot key costs one row per task.
     """
     length = f"{slide_ms} milliseconds"
@@ -49,7 +46,8 @@ def seal_windows(
     name: str,
     slide_ms: int = DAY_MS,
     offset_ms: int = 0,
-    delay: str = "0 seconds",
+    *,
+    delay: str,
 ) -> DataStreamWriter:
     """A writer that stores every window once the watermark has passed its end.
 
@@ -63,44 +61,10 @@ def seal_windows(
         if not rows.isEmpty():
             store.seal(rows, f"{name}-{batch_id}")
 
-    keys = windowed_keys(stream, slide_ms, offset_ms, delay)
+    keys = windowed_keys(stream, slide_ms, offset_ms, delay=delay)
     return keys.writeStream.outputMode("append").foreachBatch(seal)
 
 
-def seal_configured_windows(
-    stream: DataFrame,
-    config: DataFrame,
-    store: Callable[[str], WindowStore],
-    name: str,
-    delay: str = "0 seconds",
-) -> list[DataStreamWriter]:
-    """One writer per distinct slide length and start time, each for the streams that use it.
-
-    ``store`` gives the store of a setting, since a store has one writer. Streams without settings
-    use the default. More than ``MAX_SETTINGS`` distinct settings are refused.
-    """
-    resolved = with_config(stream, config)
-    settings = {
-        (row["slide_length_ms"], row["start_time_ms"])
-        for row in with_config(config.select(*STREAM).distinct(), config)
-        .select("slide_length_ms", "start_time_ms")
-        .distinct()
-        .take(MAX_SETTINGS + 1)
-    }
-    if len(settings) > MAX_SETTINGS:
-        raise ValueError(f"more than {MAX_SETTINGS} different window settings")
-    fallback = with_config(config.sparkSession.createDataFrame([("", "")], STREAM), config).first()
-    settings.add((fallback["slide_length_ms"], fallback["start_time_ms"]))
-    writers = []
-    for slide_ms, start_ms in sorted(settings):
-        mine = resolved.filter(
-            (F.col("slide_length_ms") == slide_ms) & (F.col("start_time_ms") == start_ms)
-        ).select(*stream.columns)
-        own = f"{name}-{slide_ms}-{start_ms}"
-        writers.append(seal_windows(mine, store(own), own, slide_ms, start_ms, delay))
-    return writers
-
-
 def flush_tail(
     records: DataFrame,
     store: WindowStore,
@@ -123,10 +87,11 @@ def track_open_windows(
     path: str,
     slide_ms: int = DAY_MS,
     offset_ms: int = 0,
-    delay: str = "0 seconds",
+    *,
+    delay: str,
 ) -> DataStreamWriter:
     """A writer that logs the new totals of changed keys, one folder per micro-batch."""
-    counts = windowed_keys(stream, slide_ms, offset_ms, delay).drop("values")
+    counts = windowed_keys(stream, slide_ms, offset_ms, delay=delay).drop("values")
     return changes_writer(counts, path)
 
 
