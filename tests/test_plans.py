@@ -4,24 +4,24 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from tidemark.plans.queries import all_queries
 from tidemark.operators import frequency, values, windows
 from tidemark.session import fresh_folder
 from tidemark.sources import tables
 from tidemark.sources.store import WindowStore
 
 SF_DIR = "/root/testdata/sf0.001"
-WRITING = {name for name in entry.queries() if name.startswith(("stored_", "stream_", "seal_"))}
+WRITING = {name for name in all_queries() if name.startswith(("stored_", "stream_", "seal_"))}
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - WRITING))
+@pytest.mark.parametrize("name", sorted(set(all_queries()) - WRITING))
 def test_no_python_no_cross_join(spark, name):
-    text = plan(entry.queries()[name](spark, SF_DIR))
-    for unwanted in ("Python", "CartesianProduct", "NestedLoop", "SinglePartition"):
+    text = plan(all_queries()[name](spark, SF_DIR))
+    for unwanted in ("Python", "InArrow", "InPandas", "CartesianProduct", "NestedLoop", "SinglePartition"):
         assert unwanted not in text
 
 
@@ -56,7 +56,7 @@ def test_values_with_counts_shuffles_once(spark):
 
 
 def test_sketching_hashes_keys_not_records(spark):
-    text = plan(entry.queries()["cms_merge"](spark, SF_DIR))
+    text = plan(all_queries()["cms_merge"](spark, SF_DIR))
     scan = text[text.rindex("HashAggregate") :]
     assert "md5" not in scan
 

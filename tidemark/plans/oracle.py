@@ -50,6 +50,14 @@ words AS (
     WHERE key <> ''
 )"""
 
+DAILY_WORDS = f"""
+daily_words AS (
+    SELECT 'docs' AS service, lang AS collection, doc_id % {q.WORD_DAYS} AS w, key
+    FROM (SELECT lang, doc_id, unnest(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+')) AS key
+          FROM documents)
+    WHERE key <> ''
+)"""
+
 BEGIN, END, AS_OF = _time(q.BEGIN), _time(q.END), _time(q.AS_OF)
 OPEN = f"ts >= date_trunc('day', {AS_OF}) AND ts <= {AS_OF}"
 IN_RANGE = f"w BETWEEN {BEGIN} AND {END}"
@@ -134,6 +142,47 @@ FROM (SELECT {S}, h, row_number() OVER (PARTITION BY {S} ORDER BY h) AS r
 WHERE r <= {size} GROUP BY ALL"""
 
 
+def _summaries(rows: str, capacity: int, bounding: int | None = None) -> list[str]:
+    """Lists of ``capacity`` keys per window of ``rows (…, w, key)``, merged per stream as ``merged``.
+
+    What a list does not hold is bounded by the count at rank ``bounding``, by default the first one left out.
+    """
+    bounding = bounding or capacity + 1
+    return [
+        f"""
+parts AS (
+    SELECT *, coalesce(max(CASE WHEN r = {bounding} THEN n END) OVER (PARTITION BY {S}, w), 0) AS lost
+    FROM (SELECT *, row_number() OVER (PARTITION BY {S}, w ORDER BY n DESC, key) AS r
+          FROM (SELECT {S}, w, key, count(*) AS n FROM {rows} GROUP BY ALL)))""",
+        f"""
+kept AS (
+    SELECT {S}, key, CAST(sum(n) AS BIGINT) AS least, CAST(sum(n - lost) AS BIGINT) AS above
+    FROM parts WHERE r <= {capacity} GROUP BY ALL)""",
+        f"bases AS (SELECT {S}, CAST(sum(lost) AS BIGINT) AS base FROM (SELECT DISTINCT {S}, w, lost FROM parts) GROUP BY ALL)",
+        f"""
+merged AS (
+    SELECT *, coalesce(max(CASE WHEN rk = {capacity + 1} THEN count END) OVER (PARTITION BY {S}), base) AS floor
+    FROM (SELECT *, row_number() OVER (PARTITION BY {S} ORDER BY count DESC, key) AS rk
+          FROM (SELECT {S}, key, above + base AS count, above + base - least AS error, base
+                FROM kept JOIN bases USING (service, collection))))""",
+    ]
+
+
+def _late() -> list[str]:
+    """Events with their micro-batch, the time reached before it, and whether they came too late."""
+    batch = f"seq * {q.STREAM_BATCHES} // (SELECT max(seq) + 1 FROM rec)"
+    late = f"CASE WHEN seq % {q.LATE_EVERY} = {q.LATE_PLACE} THEN {q.LATE_BATCHES} ELSE 0 END"
+    return [
+        f"batched AS (SELECT *, least({batch} + {late}, {q.STREAM_BATCHES - 1}) AS batch FROM daily)",
+        f"""
+times AS (
+    SELECT batch, max(newest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                  - INTERVAL {q.LATE_DELAY_MS} MILLISECOND AS reached
+    FROM (SELECT batch, max(ts) AS newest FROM batched GROUP BY batch))""",
+        "arrived AS (SELECT *, coalesce(w_end <= reached, FALSE) AS late FROM batched JOIN times USING (batch))",
+    ]
+
+
 def _distinct(rows: str, flag: bool = False, where: str = "TRUE") -> str:
     extra = ", TRUE AS within_bound" if flag else ""
     return f"""
@@ -255,8 +304,16 @@ WHERE rk <= capacity""",
             [REC, RANGED], f"SELECT *, TRUE AS within_bound FROM ({_top('ranged', q.TOP_K)})"
         ),
         "monitored_list": _sql(
-            [SALES],
-            f"SELECT *, TRUE AS within_bound FROM ({_top('sales', MONITORED_CAPACITY)})",
+            [DAILY_WORDS, *_summaries("daily_words", MONITORED_CAPACITY)],
+            f"SELECT {S}, key, rk, count, error, floor FROM merged WHERE rk <= {MONITORED_CAPACITY}",
+        ),
+        "monitored_bounds": _sql(
+            [DAILY_WORDS],
+            f"""
+SELECT {S}, CAST(sum(n) AS BIGINT) AS n_events, count(*) AS n_keys,
+       least(count(*), {MONITORED_CAPACITY}) AS n_listed, CAST(0 AS BIGINT) AS n_missed,
+       CAST(0 AS BIGINT) AS n_broken, TRUE AS floor_within_bound
+FROM (SELECT {S}, key, count(*) AS n FROM daily_words GROUP BY ALL) GROUP BY service, collection""",
         ),
         "distinct_current_exact": _sql([REC], _distinct("rec", where=OPEN)),
         "distinct_range_exact": _sql([REC, RANGED], _distinct("ranged")),
@@ -368,6 +425,15 @@ FROM rec""",
             [REC, _sealed(), f"ranged AS (SELECT * FROM sealed WHERE {IN_RANGE})"],
             _truncated("ranged"),
         ),
+        "stored_topk_approx": _sql(
+            [
+                REC,
+                _sealed(),
+                f"ranged AS (SELECT * FROM sealed WHERE {IN_RANGE})",
+                *_summaries("ranged", q.SMALL_CAPACITY, q.SMALL_CAPACITY),
+            ],
+            f"SELECT {S}, key, rk, count, error, floor FROM merged WHERE rk <= {q.SMALL_CAPACITY}",
+        ),
         "stored_distinct": _sql([REC, _sealed()], _distinct("sealed", True, IN_RANGE)),
         "stored_cms_merge": _sql(
             [REC, _sealed(), f"ranged AS (SELECT * FROM sealed WHERE {IN_RANGE})"],
@@ -397,6 +463,31 @@ FROM daily GROUP BY service, collection, w, key""",
         "stream_open_window": _sql(
             [REC], f"SELECT {ROWS}, key, count(*) AS n FROM daily GROUP BY ALL"
         ),
+        "stream_late_windows": _sql(
+            [REC, *_late()],
+            f"""
+SELECT {S}, {_label("CASE WHEN late THEN date_trunc('day', reached) ELSE w END")} AS label, key, count(*) AS n
+FROM arrived GROUP BY ALL""",
+        ),
+        "stream_late_records": _sql(
+            [REC, *_late()], f"SELECT {S}, key, {_label('ts')} AS t, seq FROM arrived WHERE late"
+        ),
+        "stream_settings": _sql(
+            [REC],
+            f"""
+SELECT service, 'c' || i AS collection, key, count(*) AS n,
+       {_label("make_timestamp((ms - (ms - i * 60000) % ((i + 1) * 600000)) * 1000)")} AS label
+FROM (SELECT service, key, CAST(key AS BIGINT) % {q.MANY_STREAMS} AS i, {_ms('ts')} AS ms FROM rec)
+GROUP BY ALL""",
+        ),
+        "stream_arrival_order": _sql(
+            [REC, *_late()],
+            f"""
+SELECT {S}, {_label('opened')} AS label, key, seq FROM (
+    SELECT *, max(w) OVER (PARTITION BY {S} ORDER BY batch, seq ROWS UNBOUNDED PRECEDING) AS opened
+    FROM arrived)""",
+        ),
+        "stream_label_totals": _sql([LABELS], f"{TOTALS} GROUP BY ALL"),
         "stream_labels": _sql([LABELS], f"{TOTALS} GROUP BY ALL"),
     }
 

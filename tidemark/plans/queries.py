@@ -19,15 +19,19 @@ from tidemark.operators import (
     distinct,
     frequency,
     labels,
+    spacesaving,
     values,
     windows,
 )
-from tidemark.schema import MONITORED_CAPACITY, STREAM, STREAM_CONFIG, TOP_LIST_CAPACITY
+from tidemark.schema import DAY_MS, MONITORED_CAPACITY, STREAM, STREAM_CONFIG, TOP_LIST_CAPACITY
 from tidemark.session import fresh_folder, tune
 from tidemark.sources import export, records, tables
 from tidemark.sources.store import WindowStore
+from tidemark.streaming import arrival as arrival_stream
 from tidemark.streaming import labels as label_stream
 from tidemark.streaming import windows as window_stream
+from tidemark.streaming.sealing import StreamSealer
+from tidemark.streaming.totals import RunningTotals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +56,17 @@ KMV_SIZE = 256
 PAGE = (100, 500)
 LABEL_COLLECTION = "en"
 ARRIVAL_BLOCK = 64
+#: The words of documents are dealt to so many days, each with a summary of its own.
+WORD_DAYS = 16
+#: A list that holds far fewer keys than a stream has.
+SMALL_CAPACITY = 24
+#: Streams of the streaming query with settings of their own: slide and offset differ for each.
+MANY_STREAMS = 100
+STREAM_BATCHES = 5
+#: Every so many events one arrives some micro-batches after its time.
+LATE_EVERY, LATE_PLACE, LATE_BATCHES = 50, 7, 2
+LATE_DELAY_MS = 6 * 60 * 60 * 1000
+NO_DELAY = "0 seconds"
 # Three standard errors of the distinct sketch.
 HLL_BOUND = 3 * 1.04 / 64
 # A frequent-items sketch that tracks m keys errs by at most 3.5 * 0.75 / m of all events.
@@ -65,7 +80,8 @@ STREAM_SETTINGS = [
 ]
 
 _QUERIES: dict[str, Query] = {}
-_STORES: dict[tuple[str, str], WindowStore] = {}
+_STORES: dict[tuple[str, ...], WindowStore] = {}
+_SEALERS: dict[tuple[str, ...], StreamSealer] = {}
 
 
 def query(function: Query) -> Query:
@@ -333,12 +349,43 @@ def topk_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_bound(exact, estimates, _totals(ranged), TOP_LIST_CAPACITY)
 
 
+def _daily_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of ``documents``, one stream per language, dealt to days by ``doc_id``."""
+    docs = tables.table(spark, sf_dir, "documents")
+    day = F.pmod(F.col("doc_id"), F.lit(WORD_DAYS)) * F.lit(DAY_MS)
+    ts = times.later(times.moment("20240101T000000"), day)
+    return windows.assign_windows(records.token_records(docs, "text", F.lit("docs"), "lang", ts))
+
+
+def _monitored(words: DataFrame) -> DataFrame:
+    daily = spacesaving.summaries(frequency.key_counts(words), MONITORED_CAPACITY)
+    return spacesaving.merge(daily, MONITORED_CAPACITY)
+
+
 @query
 def monitored_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sales = tables.sales_records(spark, sf_dir)
-    estimates = frequency.monitored_keys(sales, MONITORED_CAPACITY, MONITORED_CAPACITY)
-    exact = frequency.top_keys(sales, MONITORED_CAPACITY)
-    return _with_bound(exact, estimates, _totals(sales), MONITORED_CAPACITY)
+    """Lists of at most ``MONITORED_CAPACITY`` words a day, merged over all days."""
+    return _ranked(_monitored(_daily_words(spark, sf_dir)))
+
+
+@query
+def monitored_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the list promises, checked on every word: none above the floor is missing, no count is out of bounds."""
+    words = _daily_words(spark, sf_dir)
+    listed = _monitored(words)
+    floors = listed.groupBy(*STREAM).agg(F.max("floor").alias("most"))
+    beside = frequency.total_counts(words).join(listed, [*STREAM, "key"], "left").join(floors, STREAM)
+    missed = F.col("count").isNull() & (F.col("n") > F.col("most"))
+    broken = ~F.col("n").between(F.col("count") - F.col("error"), F.col("count"))
+    bound = F.sum("n") / F.lit(MONITORED_CAPACITY + 1)
+    return beside.groupBy(*STREAM).agg(
+        F.sum("n").alias("n_events"),
+        F.count(F.lit(1)).alias("n_keys"),
+        F.count("count").alias("n_listed"),
+        F.count(F.when(missed, 1)).alias("n_missed"),
+        F.count(F.when(broken, 1)).alias("n_broken"),
+        (F.max("most") <= bound).alias("floor_within_bound"),
+    )
 
 
 # --- distinct keys -------------------------------------------------------------------------------
@@ -648,6 +695,19 @@ def stored_topk_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(frequency.top_keys_truncated(top, TOP_K))
 
 
+@query
+def stored_topk_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored summaries that each had to drop most keys, merged over a range."""
+    place = (spark.sparkContext.applicationId, sf_dir, "small")
+    if place not in _STORES:
+        store = WindowStore(
+            spark, fresh_folder(spark, "small"), SMALL_CAPACITY, SKETCH_DEPTH, SKETCH_WIDTH, SKETCH_CAP
+        )
+        store.seal_records(_daily(spark, sf_dir), "first", AS_OF)
+        _STORES[place] = store
+    return _ranked(spacesaving.merge(_STORES[place].frequent(BEGIN, END), SMALL_CAPACITY))
+
+
 @query
 def stored_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _store(spark, sf_dir)
@@ -694,7 +754,9 @@ def seal_write_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows sealed by the watermark, then the tail of the finite stream."""
     store = _new_store(spark, "stream")
-    writer = window_stream.seal_windows(tables.event_stream(spark, sf_dir), store, "events")
+    writer = window_stream.seal_windows(
+        tables.event_stream(spark, sf_dir), store, "events", delay=NO_DELAY
+    )
     _drain(spark, writer, "stream-state")
     window_stream.flush_tail(tables.event_records(spark, sf_dir), store, "tail")
     return windows.with_label(_flat_values(store.keys()))
@@ -704,7 +766,9 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_open_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts kept up to date while their windows are open."""
     path = fresh_folder(spark, "open")
-    writer = window_stream.track_open_windows(tables.event_stream(spark, sf_dir), path)
+    writer = window_stream.track_open_windows(
+        tables.event_stream(spark, sf_dir), path, delay=NO_DELAY
+    )
     _drain(spark, writer, "open-state")
     return windows.with_label(window_stream.latest_counts(spark.read.parquet(path)))
 
@@ -717,6 +781,96 @@ def stream_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_stream.latest_totals(spark.read.parquet(path))
 
 
+@query
+def stream_label_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over several micro-batches, folded every second one."""
+    hits = tables.table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("collection"), F.col("source").alias("label_name"), F.lit(1).cast("long").alias("hits"), "doc_id"
+    )
+    batch = F.pmod(F.col("doc_id"), F.lit(STREAM_BATCHES)).cast("int")
+    totals = RunningTotals(spark, fresh_folder(spark, "label-totals"), fold_every=2)
+    _drain(spark, totals.writer(_in_batches(spark, hits, batch)), "label-totals-state")
+    return totals.totals()
+
+
+def _in_batches(spark: SparkSession, rec: DataFrame, batch: Column) -> DataFrame:
+    """Rows as a stream that brings ``batch`` 0 to ``STREAM_BATCHES`` - 1 one after another."""
+    path = fresh_folder(spark, "batches")
+    numbered = rec.withColumn("batch", batch)
+    for number in range(STREAM_BATCHES):
+        numbered.filter(F.col("batch") == number).drop("batch").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rec.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _late_batch(rec: DataFrame) -> Column:
+    """The micro-batch of an event by its number; some come ``LATE_BATCHES`` after their time."""
+    total = rec.agg(F.max("seq") + 1).first()[0]
+    late = F.when(F.col("seq") % LATE_EVERY == LATE_PLACE, LATE_BATCHES).otherwise(0)
+    batch = F.floor(F.col("seq") * STREAM_BATCHES / F.lit(total)) + late
+    return F.least(batch, F.lit(STREAM_BATCHES - 1)).cast("int")
+
+
+def _sealed_stream(spark: SparkSession, sf_dir: str) -> StreamSealer:
+    """Daily windows of a stream with late events, all sealed; run once per session and table folder."""
+    place = (spark.sparkContext.applicationId, sf_dir)
+    if place not in _SEALERS:
+        rec = tables.event_records(spark, sf_dir)
+        sealer = StreamSealer(
+            spark, _new_store(spark, "late"), fresh_folder(spark, "late-open"), "late", LATE_DELAY_MS
+        )
+        _drain(spark, sealer.writer(_in_batches(spark, rec, _late_batch(rec))), "late-state")
+        sealer.close()
+        _SEALERS[place] = sealer
+    return _SEALERS[place]
+
+
+@query
+def stream_late_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several micro-batches; an event whose window is sealed counts in the window open when it comes."""
+    return windows.with_label(_sealed_stream(spark, sf_dir).store.keys().drop("values"))
+
+
+@query
+def stream_late_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The side output: events that came after their window was sealed, as they came."""
+    late = _sealed_stream(spark, sf_dir).late_records()
+    return late.select(*STREAM, "key", times.format_label(F.col("ts")).alias("t"), "seq")
+
+
+@query
+def stream_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred streams with a window length and start of their own in one streaming query."""
+    name = F.concat(F.lit("c"), (F.col("key").cast("long") % MANY_STREAMS).cast("string"))
+    rec = tables.event_records(spark, sf_dir).withColumn("collection", name)
+    settings = [
+        ("events", f"c{i}", i * 60_000, (i + 1) * 600_000, None, None, None) for i in range(MANY_STREAMS)
+    ]
+    sealer = StreamSealer(
+        spark,
+        _new_store(spark, "settings"),
+        fresh_folder(spark, "settings-open"),
+        "settings",
+        0,
+        spark.createDataFrame(settings, STREAM_CONFIG),
+    )
+    total = rec.agg(F.max("seq") + 1).first()[0]
+    batch = F.floor(F.col("seq") * STREAM_BATCHES / F.lit(total)).cast("int")
+    _drain(spark, sealer.writer(_in_batches(spark, rec, batch)), "settings-state")
+    sealer.close()
+    return windows.with_label(sealer.store.keys().drop("values"))
+
+
+@query
+def stream_arrival_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The open day of every stream carried over micro-batches with late events."""
+    rec = tables.event_records(spark, sf_dir)
+    path = fresh_folder(spark, "arrival")
+    writer = arrival_stream.track_arrival_windows(_in_batches(spark, rec, _late_batch(rec)), path, CHECKED_BUCKET)
+    _drain(spark, writer, "arrival-state")
+    placed = arrival_stream.arrival_windows(spark, path)
+    return windows.with_label(placed).select(*STREAM, "label", "key", "seq")
+
+
 def _drain(spark: SparkSession, writer, name: str) -> None:
     running = (
         writer.option("checkpointLocation", fresh_folder(spark, name))
