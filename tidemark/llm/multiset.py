@@ -107,6 +107,9 @@ def edited_text(text: str, following: str) -> str:
 def _change(text: str, edited: str, cut: int) -> tuple[str, str]:
     """The paragraphs an edit of the last ``cut`` characters takes out, and those it puts in, as texts."""
     begin = text.rfind("\n", 0, len(text) - cut) + 1
+    if begin and begin == len(edited):
+        # What is left ends with a line feed, and so with an empty paragraph, which an empty text has not.
+        begin = text.rfind("\n", 0, begin - 1) + 1
     return text[begin:], edited[begin:]
 
 
