@@ -1,9 +1,9 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at its block tags. The first pass decides what stop-word density, length and link
-density (and containers that say what they are) make plain: long text with stop words is good, links
-and boilerplate containers are bad. The rest, mostly short blocks such as headings or one-line paragraphs,
-takes the label of the nearest decided block in the second pass.
+density make plain: long text with stop words is good, links are bad. Containers that say they are something else
+are left out, unless these densities show that the article is in them. The rest, mostly short blocks such as headings
+or one-line paragraphs, takes the label of the nearest decided block in the second pass.
 """
 
 from __future__ import annotations
@@ -39,18 +39,26 @@ _BREAKS = frozenset(
     "h2 h3 h4 h5 h6 header hr html li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th "
     "thead tr ul".split()
 )
-_BOILERPLATE = frozenset("nav footer aside form menu dialog button select textarea template noscript iframe head object svg".split())
+_NEVER = frozenset("nav menu dialog button select textarea template noscript iframe head object svg".split())
+_SUSPECT = frozenset("footer aside form".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE_KEPT = frozenset(["a"])
-# Parts of class, id and role names.
+# Words of class, id and role names that tell of something beside the article, then words that add nothing to them.
 _HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent "
-    "contentinfo cookie cookies copyright disclaimer disqus dialog feedback footer form gdpr login menu menubar modal nav navbar "
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs complementary consent "
+    "contentinfo cookie cookies copyright disclaimer dialog feedback footer form gdpr login menu menubar modal nav navbar "
     "navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommendations "
-    "recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe teaser "
+    "recommended related search share sharing sidebar signup social sponsor sponsored subscribe teaser "
     "toolbar widget widgets".split()
 )
+_COMMENTS = frozenset("comment comments commentlist disqus replies reply respond responses".split())
+_PLAIN = frozenset(
+    "area articles bar block body bottom box btn buttons card container content fixed global group header inner item items left "
+    "legal list links main outer page panel post posts primary region right row secondary section site slot sticky stories "
+    "text thread title top unit wrap wrapper zone".split()
+)
 _ROOTS = frozenset(["html", "body", "main"])
+_HEADS = frozenset(["h1", "article", "main"])
 
 _PART = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -60,56 +68,104 @@ _PART = re.compile(
     r"|(?P<text>[^<]+|<)",
     re.DOTALL | re.IGNORECASE,
 )
-_NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+_UNSEEN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+@dataclass
+class Container:
+    """An element whose tag or name speaks against it; ``parent`` is the container around it, or -1."""
+
+    parent: int
+    form: bool
+    comments: bool
+    holds_head: bool = False
+    size: int = 0
+    good: int = 0
+    good_blocks: int = 0
+    own_good: int = 0
+
+
 @dataclass
 class Block:
     text: str
     linked: int
-    boilerplate: bool
+    never: bool
+    container: int
     article: bool
+    heading: bool
     label: bool | None = None
 
 
-def _is_boilerplate(tag: str, rest: str, in_article: bool) -> bool:
+def _said(name: str) -> str | None:
+    """What one whole name of an element says: "comments", "beside" or nothing.
+
+    Every part of it has to be such a word or a plain one: ``cookie-banner`` and ``site-footer`` say it, ``has-sidebar``
+    and ``comments-open`` do not.
+    """
+    parts = [part.lower() for part in _NAME_PART.findall(name)]
+    if any(p not in _HINTS and p not in _COMMENTS and p not in _PLAIN for p in parts):
+        return None
+    if any(p in _COMMENTS for p in parts):
+        return "comments"
+    return "beside" if any(p in _HINTS for p in parts) else None
+
+
+def _kind(tag: str, rest: str, in_article: bool) -> str | None:
+    """"never" for what is no text of a page, "form", "comments" or "beside" for a suspect container."""
     if tag in _ROOTS:
-        return False
-    if tag in _BOILERPLATE or (tag == "header" and not in_article) or _HIDDEN.search(rest):
-        return True
-    if "=" not in rest:
-        return False
-    for found in _NAMES.finditer(rest):
-        name = found[1] or found[2] or found[3] or ""
-        if any(part.lower() in _HINTS for part in _NAME_PART.findall(name)):
-            return True
-    return False
+        return None
+    if tag in _NEVER:
+        return "never"
+    kind = None
+    if tag in _SUSPECT or (tag == "header" and not in_article):
+        kind = "form" if tag == "form" else "beside"
+    if not rest or rest.isspace():
+        return kind
+    for found in _ATTRIBUTE.finditer(rest):
+        attribute = found[1].lower()
+        value = found[2] or found[3] or found[4] or ""
+        if attribute == "hidden" or (attribute == "aria-hidden" and value.lower() == "true"):
+            return "never"
+        if attribute == "style" and _UNSEEN.search(value):
+            return "never"
+        if attribute in ("class", "id", "role"):
+            for name in value.split():
+                said = _said(name)
+                if said == "comments" or (said and kind is None):
+                    kind = said
+    return kind
 
 
-def blocks(html: str) -> list[Block]:
-    """The blocks of a page in order, those without text left out."""
+def blocks(html: str) -> tuple[list[Block], list[Container]]:
+    """The blocks of a page in order, those without text left out, and its suspect containers, outer ones first."""
     result: list[Block] = []
+    containers: list[Container] = []
     parts: list[str] = []
-    linked = links = boiler = article = breaks = 0
-    stack: list[tuple[str, int, int]] = []  # tag, what it adds to boiler and article
+    linked = links = never = article = heading = breaks = 0
+    inside = -1
+    stack: list[tuple[str, str | None]] = []  # tag and kind
 
     def close() -> None:
         nonlocal linked, breaks
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            result.append(Block(text, linked, boiler > 0, article > 0))
+            result.append(Block(text, linked, never > 0, inside, article > 0, heading > 0))
         parts.clear()
         linked = breaks = 0
 
     def pop(to: int) -> None:
-        nonlocal boiler, article, links
+        nonlocal never, inside, article, heading, links
         while len(stack) > to:
-            tag, b, a = stack.pop()
-            boiler -= b
-            article -= a
+            tag, kind = stack.pop()
+            if kind == "never":
+                never -= 1
+            elif kind:
+                inside = containers[inside].parent
+            article -= tag in ("article", "main")
+            heading -= tag == "h1"
             links -= tag == "a"
 
     for part in _PART.finditer(html):
@@ -135,9 +191,9 @@ def blocks(html: str) -> list[Block]:
         if part["close"]:
             for at in range(len(stack) - 1, -1, -1):
                 if stack[at][0] == tag:
-                    if tag not in _BREAKS and tag not in _BOILERPLATE and any(t in _BREAKS for t, _, _ in stack[at + 1 :]):
+                    if tag not in _BREAKS and tag not in _NEVER and any(t in _BREAKS for t, _ in stack[at + 1 :]):
                         break  # an inline tag does not close the blocks inside it
-                    if tag in _BOILERPLATE:
+                    if stack[at][1]:
                         close()
                     pop(at)
                     break
@@ -149,24 +205,29 @@ def blocks(html: str) -> list[Block]:
             continue
         if tag in _BREAKS and stack and stack[-1][0] == "p":
             pop(len(stack) - 1)
-        b = int(_is_boilerplate(tag, rest, article > 0))
-        a = int(tag in ("article", "main"))
-        if b and tag not in _BREAKS:
+        kind = _kind(tag, rest, article > 0)
+        if kind and tag not in _BREAKS:
             close()
-        if b or a or tag in _BREAKS or tag in _INLINE_KEPT:
+        if kind or tag in _BREAKS or tag in _INLINE_KEPT:
             if tag == "body":
                 pop(0)  # whatever the head left open
-            stack.append((tag, b, a))
-            boiler += b
-            article += a
+            stack.append((tag, kind))
+            if kind == "never":
+                never += 1
+            elif kind:
+                containers.append(Container(inside, kind == "form", kind == "comments"))
+                inside = len(containers) - 1
+            if tag in _HEADS and not never and inside >= 0:
+                containers[inside].holds_head = True
+            article += tag in ("article", "main")
+            heading += tag == "h1"
             links += tag == "a"
     close()
-    return result
+    return result, containers
 
 
-def _decide(block: Block, page_has_article: bool) -> bool | None:
-    if block.boilerplate or (page_has_article and not block.article):
-        return False
+def _by_density(block: Block) -> bool | None:
+    """What length, stop words and links alone tell of a block."""
     size = len(block.text)
     if block.linked > LINK_DENSITY * size:
         return False
@@ -177,28 +238,94 @@ def _decide(block: Block, page_has_article: bool) -> bool | None:
     return None
 
 
+def _condemned(found: list[Block], containers: list[Container]) -> list[bool]:
+    """Which containers keep their text out of the article.
+
+    A name only weighs: a form around a heading or an article is the page itself; three good blocks that make up over
+    half of a container and two thirds of the page's good text clear it, unless it holds comments; and when
+    nothing else on the page can be the article, the containers around most good text are cleared from outside in.
+    """
+    condemned = [True] * len(containers)
+    for block in found:
+        if block.container >= 0 and not block.never:
+            c = containers[block.container]
+            c.size += len(block.text)
+            if block.label:
+                c.good += len(block.text)
+                c.good_blocks += 1
+                c.own_good += 1
+    inner: dict[int, list[int]] = {}
+    for i in range(len(containers) - 1, -1, -1):  # inner ones come later, so they are complete here
+        c = containers[i]
+        inner.setdefault(c.parent, []).append(i)
+        if c.parent >= 0:
+            outer = containers[c.parent]
+            outer.size += c.size
+            outer.good += c.good
+            outer.good_blocks += c.good_blocks
+            outer.holds_head |= c.holds_head
+    page = sum(len(b.text) for b in found if b.label and not b.never)
+    for i, c in enumerate(containers):
+        heavy = not c.comments and c.good_blocks >= 3 and 2 * c.good > c.size and 3 * c.good > 2 * page
+        if heavy or (c.form and c.holds_head):
+            condemned[i] = False
+    covered = _covered(containers, condemned)
+    if any(_free(b, covered) and b.label is not False and (b.label or b.article or b.heading) for b in found):
+        return covered
+    at = -1
+    while within := [i for i in inner.get(at, ()) if containers[i].good]:
+        at = max(within, key=lambda i: (containers[i].good, -i))
+        condemned[at] = False
+        if containers[at].own_good:
+            break
+    return _covered(containers, condemned)
+
+
+def _covered(containers: list[Container], condemned: list[bool]) -> list[bool]:
+    """Whether a container or one around it is condemned."""
+    covered: list[bool] = []
+    for c, own in zip(containers, condemned):
+        covered.append(own or (c.parent >= 0 and covered[c.parent]))
+    return covered
+
+
+def _free(block: Block, covered: list[bool]) -> bool:
+    return not block.never and (block.container < 0 or not covered[block.container])
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page: its good blocks, joined by empty lines.
 
-    Null and empty pages give an empty text.
+    Null and empty pages give an empty text. Elements ``article`` and ``main`` are the whole article if they hold at least
+    half of the good text outside condemned containers; else they are blocks like others.
     """
-    found = blocks(html or "")
-    has_article = any(b.article and not b.boilerplate for b in found)
+    found, containers = blocks(html or "")
     for block in found:
-        block.label = _decide(block, has_article)
-    # Containers that say what they are tell nothing about the blocks beside them in an article.
-    told = [b for b in found if b.label is not None and not (has_article and (b.boilerplate or not b.article))]
-    place = {id(b): i for i, b in enumerate(found)}
+        block.label = _by_density(block)
+    covered = _condemned(found, containers)
+    free = [b for b in found if _free(b, covered)]
+    good = [0, 0]
+    for block in free:
+        if block.label:
+            good[block.article] += len(block.text)
+    if any(b.article for b in free) and good[True] >= good[False]:
+        free = [b for b in free if b.article]
+    else:
+        for block in free:
+            if block.label is None and not block.article and "©" in block.text:
+                block.label = False
+    # Condemned containers say what they are and tell nothing about the blocks beside them.
+    told = [i for i, b in enumerate(free) if b.label is not None]
     kept = []
     after = 0
-    for i, block in enumerate(found):
-        while after < len(told) and place[id(told[after])] < i:
+    for i, block in enumerate(free):
+        while after < len(told) and told[after] < i:
             after += 1
         label = block.label
         if label is None:
             beside = [told[k] for k in (after - 1, after) if 0 <= k < len(told)]
-            nearest = min((abs(place[id(b)] - i) for b in beside), default=0)
-            label = not beside or any(b.label for b in beside if abs(place[id(b)] - i) == nearest)
+            nearest = min((abs(k - i) for k in beside), default=0)
+            label = not beside or any(free[k].label for k in beside if abs(k - i) == nearest)
         if label:
             kept.append(block.text)
     return "\n\n".join(kept)
