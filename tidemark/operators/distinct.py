@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import KMV_HASH_BITS, canonical_key, kmv_hash
@@ -73,8 +73,40 @@ def merge_kmv(hashes: DataFrame, k: int, group: Sequence[str] = STREAM) -> DataF
 def kmv_estimate(hashes: DataFrame, k: int, group: Sequence[str] = STREAM) -> DataFrame:
     """Distinct keys from k minimum values; exact while there are fewer than ``k`` keys."""
     kept = hashes.groupBy(*group).agg(F.count(F.lit(1)).alias("kept"), F.max("h").alias("h_k"))
+    return kept.select(*group, _from_minimum_values(k).alias("estimate"))
+
+
+def _from_minimum_values(k: int) -> Column:
+    """Distinct keys from the number of hashes ``kept`` and the largest of them, ``h_k``."""
     scaled = F.lit(float(k - 1)) / (F.col("h_k").cast("double") / F.lit(float(2**KMV_HASH_BITS)))
-    return kept.select(
-        *group,
-        F.when(F.col("kept") < k, F.col("kept").cast("double")).otherwise(scaled).alias("estimate"),
+    return F.when(F.col("kept") < k, F.col("kept").cast("double")).otherwise(scaled)
+
+
+def compare_kmv(hashes: DataFrame, left: Column, k: int, group: Sequence[str] = ()) -> DataFrame:
+    """Two sets of keys per group, from their minimum values: ``either``, ``shared``, ``left_only``, ``right_only``.
+
+    ``left`` is true for hashes of the one set, false for those of the other and null for neither. Both may
+    be given by the minimum sets of several windows. The ``k`` smallest hashes of the union are a sample of it in which
+    every key is known to be in one set, the other or both; below ``k`` keys everything is exact. ``similarity`` is
+    the Jaccard index.
+    """
+    sided = hashes.select(*group, "h", left.alias("left")).filter(F.col("left").isNotNull())
+    marked = sided.groupBy(*group, "h").agg(F.max("left").alias("left"), F.max(~F.col("left")).alias("right"))
+    if group:
+        sample = top_per_group(marked, group, [F.col("h").asc()], k)
+    else:
+        sample = marked.orderBy("h").limit(k)
+    counted = sample.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("kept"),
+        F.max("h").alias("h_k"),
+        F.count_if(F.col("left") & F.col("right")).alias("shared"),
+        F.count_if(F.col("left") & ~F.col("right")).alias("left_only"),
+        F.count_if(~F.col("left") & F.col("right")).alias("right_only"),
     )
+    sized = counted.withColumn("either", _from_minimum_values(k))
+    shares = [
+        F.coalesce(F.col(part) * F.col("either") / F.nullif("kept", F.lit(0)), F.lit(0.0)).alias(part)
+        for part in ("shared", "left_only", "right_only")
+    ]
+    similarity = F.col("shared") / F.nullif("kept", F.lit(0))
+    return sized.select(*group, "either", *shares, similarity.alias("similarity"))

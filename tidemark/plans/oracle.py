@@ -131,8 +131,7 @@ JOIN ({_merged_cells(rows)}) m USING (service, collection, i, b)
 GROUP BY ALL"""
 
 
-def _kmv(rows: str) -> str:
-    size = q.KMV_SIZE
+def _kmv(rows: str, size: int = q.KMV_SIZE) -> str:
     return f"""
 SELECT {S}, CASE WHEN count(*) < {size} THEN CAST(count(*) AS DOUBLE)
                  ELSE {size - 1}.0::DOUBLE / (CAST(max(h) AS DOUBLE) / 1152921504606846976.0::DOUBLE)
@@ -142,6 +141,28 @@ FROM (SELECT {S}, h, row_number() OVER (PARTITION BY {S} ORDER BY h) AS r
 WHERE r <= {size} GROUP BY ALL"""
 
 
+def _compared(rows: str, left: str, group: str = "") -> str:
+    """Estimates of two sets of keys, told apart by ``left``, from the smallest hashes of their union."""
+    size = q.STORED_KMV
+    per = f"{group}, " if group else ""
+    whole = f"PARTITION BY {group} " if group else ""
+    parts = ", ".join(
+        f"coalesce({part} * either / nullif(kept, 0), 0.0::DOUBLE) AS {part}" for part in ("shared", "left_only", "right_only")
+    )
+    return f"""
+SELECT {per}either, {parts}, CAST(shared AS DOUBLE) / nullif(kept, 0) AS similarity
+FROM (SELECT {per}count(*) AS kept,
+             CASE WHEN count(*) < {size} THEN CAST(count(*) AS DOUBLE)
+                  ELSE {size - 1}.0::DOUBLE / (CAST(max(h) AS DOUBLE) / 1152921504606846976.0::DOUBLE) END AS either,
+             count(*) FILTER (l AND r) AS shared, count(*) FILTER (l AND NOT r) AS left_only,
+             count(*) FILTER (r AND NOT l) AS right_only
+      FROM (SELECT {per}h, l, r, row_number() OVER ({whole}ORDER BY h) AS place
+            FROM (SELECT {per}CAST('0x' || substr(md5(key), 1, 15) AS BIGINT) AS h,
+                         bool_or({left}) AS l, bool_or(NOT ({left})) AS r
+                  FROM {rows} GROUP BY {per}h))
+      WHERE place <= {size}{f" GROUP BY {group}" if group else ""})"""
+
+
 def _summaries(rows: str, capacity: int, bounding: int | None = None) -> list[str]:
     """Lists of ``capacity`` keys per window of ``rows (…, w, key)``, merged per stream as ``merged``.
 
@@ -439,6 +460,28 @@ FROM rec""",
             [REC, _sealed(), f"ranged AS (SELECT * FROM sealed WHERE {IN_RANGE})"],
             _merged_cells("ranged"),
         ),
+        "stored_distinct_rolled": _sql([REC, _sealed()], _distinct("sealed", True, IN_RANGE)),
+        "stored_cms_rolled": _sql(
+            [REC, _sealed(), f"ranged AS (SELECT * FROM sealed WHERE {IN_RANGE})"],
+            _merged_cells("ranged"),
+        ),
+        "stored_kmv_rolled": _sql(
+            [REC, _sealed(), f"ranged AS (SELECT * FROM sealed WHERE {IN_RANGE})"],
+            _kmv("ranged", q.STORED_KMV),
+        ),
+        "stored_kmv_retained": _sql(
+            [REC, _sealed(), f"ranged AS (SELECT * FROM sealed WHERE {IN_RANGE})"],
+            _compared("ranged", f"w <= {_time(q.MIDDLE)}", S),
+        ),
+        "stored_kmv_overlap": _sql(
+            [
+                REC,
+                _sealed(),
+                f"two AS (SELECT * FROM sealed WHERE {IN_RANGE}"
+                f" AND collection IN ('{q.STREAM_ASKED[1]}', '{q.STREAM_COMPARED}'))",
+            ],
+            _compared("two", f"collection = '{q.STREAM_ASKED[1]}'"),
+        ),
         "stored_values": _sql(
             [REC],
             f"SELECT {ROWS}, key, v_k, v_value FROM ({_first('daily')}) "

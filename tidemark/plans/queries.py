@@ -26,6 +26,7 @@ from tidemark.operators import (
 from tidemark.schema import DAY_MS, MONITORED_CAPACITY, STREAM, STREAM_CONFIG, TOP_LIST_CAPACITY
 from tidemark.session import fresh_folder, tune
 from tidemark.sources import export, records, tables
+from tidemark.sources.rollup import RollUps
 from tidemark.sources.store import WindowStore
 from tidemark.streaming import arrival as arrival_stream
 from tidemark.streaming import labels as label_stream
@@ -42,6 +43,8 @@ AS_OF = "20240120T120000"
 TOP_K = 10
 CURRENT_LIMIT = 20
 STREAM_ASKED = ("events", "click")
+STREAM_COMPARED = "purchase"
+MIDDLE = "20240114T000000"
 WINDOW_ASKED = "20240110T000000"
 KEY_ASKED = "6"
 IMPORT_SINCE = "20240110T000000"
@@ -53,6 +56,7 @@ SKETCH_WIDTH = 1024
 SKETCH_DEPTH = 3
 SKETCH_CAP = 1 << 30
 KMV_SIZE = 256
+STORED_KMV = 64
 PAGE = (100, 500)
 LABEL_COLLECTION = "en"
 ARRIVAL_BLOCK = 64
@@ -80,7 +84,7 @@ STREAM_SETTINGS = [
 ]
 
 _QUERIES: dict[str, Query] = {}
-_STORES: dict[tuple[str, ...], WindowStore] = {}
+_STORES: dict[tuple[str, ...], WindowStore | RollUps] = {}
 _SEALERS: dict[tuple[str, ...], StreamSealer] = {}
 
 
@@ -720,6 +724,58 @@ def stored_cms_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cell_columns(countmin.merge(_store(spark, sf_dir).cells(BEGIN, END)))
 
 
+def _rolled(spark: SparkSession, sf_dir: str) -> RollUps:
+    """Windows with minimum values, their cells brought up to date after half of the days and at the end."""
+    place = (spark.sparkContext.applicationId, sf_dir, "rolled")
+    if place not in _STORES:
+        store = WindowStore(
+            spark, fresh_folder(spark, "rolled"), depth=SKETCH_DEPTH, width=SKETCH_WIDTH, max_value=SKETCH_CAP,
+            kmv_size=STORED_KMV,
+        )
+        rolled = RollUps(store)
+        for name, as_of in (("first", BEGIN), ("second", AS_OF)):
+            store.seal_records(_daily(spark, sf_dir), name, as_of)
+            rolled.refresh()
+        _STORES[place] = rolled
+    return _STORES[place]
+
+
+@query
+def stored_distinct_rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct count of a range from cells of several days."""
+    rolled = _rolled(spark, sf_dir)
+    merged = distinct.merged_distinct(rolled.sketches("distinct", BEGIN, END))
+    return _within(distinct.distinct_keys(rolled.store.keys(BEGIN, END)), merged)
+
+
+@query
+def stored_cms_rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cell_columns(countmin.merge(_rolled(spark, sf_dir).sketches("cms", BEGIN, END)))
+
+
+@query
+def stored_kmv_rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct keys of a range from stored minimum values."""
+    hashes = _rolled(spark, sf_dir).sketches("kmv", BEGIN, END)
+    return distinct.kmv_estimate(distinct.merge_kmv(hashes, STORED_KMV), STORED_KMV)
+
+
+@query
+def stored_kmv_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per stream, keys of the first part of a range that the rest has as well, and those of either alone."""
+    store = _rolled(spark, sf_dir).store
+    early = F.col("window_start") <= times.moment(MIDDLE)
+    return distinct.compare_kmv(store.minimum_values(BEGIN, END), early, STORED_KMV, STREAM)
+
+
+@query
+def stored_kmv_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that two streams share over a range, and those of either alone."""
+    hashes = _rolled(spark, sf_dir).sketches("kmv", BEGIN, END)
+    side = F.when(F.col("collection") == STREAM_ASKED[1], True).when(F.col("collection") == STREAM_COMPARED, False)
+    return distinct.compare_kmv(hashes, side, STORED_KMV)
+
+
 @query
 def stored_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = _store(spark, sf_dir).keys(WINDOW_ASKED, WINDOW_ASKED)

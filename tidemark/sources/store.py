@@ -7,6 +7,7 @@ Every table is parquet below one folder, partitioned by the day a window starts
     toplist   stream, window bounds, rk, key, n
     distinct  stream, window bounds, hll
     cms       stream, window bounds, i, b, v
+    kmv       stream, window bounds, h             (with ``kmv_size``)
     catalog   stream, window bounds, n_events, n_keys   (by seal only)
 
 Partitioning by day keeps the number of folders independent of the number of streams and of the
@@ -47,6 +48,7 @@ TABLES = {
     "toplist": _STREAM + "rk int, key string, n bigint" + _PLACE,
     "distinct": _STREAM + "hll binary" + _PLACE,
     "cms": _STREAM + "i int, b bigint, v bigint" + _PLACE,
+    "kmv": _STREAM + "h bigint" + _PLACE,
     "catalog": _STREAM + "n_events bigint, n_keys bigint, seal string",
 }
 
@@ -55,7 +57,7 @@ class WindowStore:
     """Write-once storage of sealed windows below ``path``.
 
     ``config`` gives streams their own top-list capacity, sketch width and sketch cap; the other
-    arguments are for streams without.
+    arguments are for streams without. ``kmv_size`` minimum values are kept per window, or none.
     """
 
     def __init__(
@@ -68,6 +70,7 @@ class WindowStore:
         max_value: int = SKETCH_MAX_VALUE,
         lg_k: int = HLL_LG_K,
         config: DataFrame | None = None,
+        kmv_size: int | None = None,
     ):
         self.spark = spark
         self.path = path.rstrip("/")
@@ -77,6 +80,7 @@ class WindowStore:
         self.max_value = max_value
         self.lg_k = lg_k
         self.config = config
+        self.kmv_size = kmv_size
         with ThreadPoolExecutor(len(TABLES)) as pool:
             create = inheritable_thread_target(spark)(self._create)
             for job in [pool.submit(create, name) for name in TABLES]:
@@ -104,6 +108,8 @@ class WindowStore:
             "distinct": distinct.distinct_sketches(counts, self.lg_k),
             "cms": self._cells(counts),
         }
+        if self.kmv_size:
+            derived["kmv"] = distinct.kmv_hashes(counts, self.kmv_size, STREAM_WINDOW).drop("rk")
         # Independent jobs over the same stored rows: together they keep the cluster busy.
         with ThreadPoolExecutor(len(derived)) as pool:
             write = inheritable_thread_target(self.spark)(self._write)
@@ -162,6 +168,12 @@ class WindowStore:
     def cells(self, begin=None, end=None, label: str = "start") -> DataFrame:
         return self._range("cms", begin, end, label)
 
+    def minimum_values(self, begin=None, end=None, label: str = "start") -> DataFrame:
+        """The minimum sets of windows; of those sealed without ``kmv_size`` there are none."""
+        if not self.kmv_size:
+            raise ValueError("this store keeps no minimum values: give it a kmv_size")
+        return self._range("kmv", begin, end, label)
+
     def unsealed(self, windowed: DataFrame) -> DataFrame:
         """Rows of windows the store does not have."""
         sealed = self.catalog().select(*STREAM_WINDOW)
@@ -202,7 +214,7 @@ class WindowStore:
             placed = placed.withColumn("day", _day(F.col("window_start")))
         columns = T.StructType.fromDDL(TABLES[name]).names
         places = _places(name)
-        order = [*places, *[c for c in ("window_start", "service", "collection", "rk", "key") if c in columns]]
+        order = [*places, *[c for c in ("window_start", "service", "collection", "rk", "key", "h") if c in columns]]
         (
             placed.select(*columns)
             .hint("rebalance", *places)
