@@ -50,6 +50,20 @@ def test_distinct_keys(service, exact):
     assert [tuple(r) for r in ask("nobody", DAY1, DAY3)] == [(0,)]
     assert service.current_distinct("s", "c", NOON, exact).first()["n_distinct"] == 2
     assert service.current_distinct("s", "nobody", NOON, exact).first()["n_distinct"] == 0
+    if not exact:
+        service.roll_up()
+        assert [tuple(r) for r in ask("c", DAY1, DAY3)] == [(4,)]
+
+
+def test_keys_of_two_streams(spark):
+    service = LogAnalytics(spark, fresh_folder(spark, "compared"), kmv_size=8)
+    service.insert(records(spark, [(k, "2013-05-09", None) for k in "abcd"], collection="c"))
+    service.insert(records(spark, [(k, "2013-05-10", None) for k in "cde"], collection="d"))
+    service.close("all")
+    for _ in range(2):
+        found = service.compare_keys("s", "c", "s", "d", DAY1, DAY3).first()
+        assert found.asDict() == {"either": 5.0, "shared": 2.0, "left_only": 2.0, "right_only": 1.0, "similarity": 0.4}
+        service.roll_up()
 
 
 def test_attributes(service):

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import time
 from datetime import datetime, timezone
+from functools import cached_property, partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from tidemark.operators.joins import sized_join
 from tidemark.schema import DAY_MS, RECORD, STREAM, STREAM_WINDOW
 from tidemark.session import tune
 from tidemark.sources.labelstore import LabelStore
+from tidemark.sources.rollup import RollUps
 from tidemark.sources.store import WindowStore
 
 _LOG = StructType(
@@ -279,10 +281,31 @@ class LogAnalytics:
         if exact:
             stored = self._stored(self.store.keys, service, collection, begin, end)
             return self._count_distinct(stored.select("key").unionByName(live.select("key")), True)
-        stored = self._stored(self.store.distinct_sketches, service, collection, begin, end)
-        recent = distinct.distinct_sketches(live, self.store.lg_k)
+        rolled = partial(self._rolled.sketches, "distinct")
+        stored = self._stored(rolled, service, collection, begin, end)
+        recent = distinct.distinct_sketches(live, self.store.lg_k).select(*STREAM, "hll")
         return self._count_distinct(stored.unionByName(recent), False)
 
+    def compare_keys(
+        self, service: str, collection: str, other_service: str, other_collection: str, begin: Moment, end: Moment
+    ) -> DataFrame:
+        """How many keys two streams share over the sealed windows of a range, one row; see ``distinct.compare_kmv``.
+
+        From stored minimum values, so the service needs a ``kmv_size``. A stream has all its keys in common with itself.
+        """
+        hashes = self._rolled.sketches("kmv", begin, end, self.label)
+        one = windows.of_stream(hashes, service, collection).withColumn("side", F.lit(True))
+        other = windows.of_stream(hashes, other_service, other_collection).withColumn("side", F.lit(False))
+        return distinct.compare_kmv(one.unionByName(other), F.col("side"), self.store.kmv_size)
+
+    def roll_up(self) -> None:
+        """Merge the sketches of sealed windows over days, so that long ranges read few; after seals, from time to time."""
+        self._rolled.refresh()
+
+    @cached_property
+    def _rolled(self) -> RollUps:
+        return RollUps(self.store)
+
     def _count_distinct(self, rows: DataFrame, exact: bool) -> DataFrame:
         if exact:
             return distinct.distinct_keys(rows, [])
