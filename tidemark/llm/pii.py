@@ -96,16 +96,27 @@ def _term(word: str) -> str:
     return word.strip(_STRIPPED).lower()
 
 
+def _words_before(text: str, start: int, near: int) -> list[tuple[int, int]]:
+    """The last ``near`` words before ``start``, each whole however long."""
+    reach = 32 * near
+    while True:
+        low = max(0, start - reach)
+        found = [m.span() for m in _WORD.finditer(text, low, start)]
+        if low and found and found[0][0] == low:
+            del found[0]  # may begin further left
+        if low == 0 or len(found) >= near:
+            return found[-near:]
+        reach *= 4
+
+
 def _near(text: str, spans: list[tuple[str, int, int]], near: int) -> list[tuple[str, str, int, int, str]]:
-    """(entity, term, start, end, context) of the words within ``near`` words of each entity on its line."""
+    """(entity, term, start, end, context) of the words within ``near`` words of each entity, lines above and below included."""
     out = []
     for kind, start, end in spans:
         entity = f"{kind}:{text[start:end].lower()}"
-        line = text.rfind("\n", 0, start) + 1
-        left = [m.span() for m in _WORD.finditer(text, max(line, start - 32 * near), start)][-near:]
-        stop = text.find("\n", end)
+        left = _words_before(text, start, near)
         right = []
-        for m in _WORD.finditer(text, end, len(text) if stop < 0 else stop):
+        for m in _WORD.finditer(text, end):
             if len(right) == near:
                 break
             right.append(m.span())
