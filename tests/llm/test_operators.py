@@ -252,16 +252,6 @@ def test_blocks_round_trip(size, top):
     assert doc_ids.tolist() == [5, -1, 7] and found.tolist() == lengths and (back == values).all()
 
 
-@pytest.mark.parametrize("weights", [{"a": 5, "b": 0.01, "c": 4.99}, {f"s{i}": i * i + 0.1 for i in range(30)}])
-def test_frame_deviates_by_less_than_a_block(weights):
-    slots = mixing.shares_of_frame(weights, 1000)
-    frame, taken = sum(slots.values()), dict.fromkeys(slots, 0)
-    for t, (source, _, release, deadline, slot) in enumerate(mixing.frame_schedule(slots), 1):
-        taken[source] += 1
-        assert release <= slot < deadline and slot == t - 1
-        assert all(abs(taken[s] - slots[s] * t / frame) < 1 for s in slots)
-
-
 def test_mixing(spark, docs, none):
     weights = mixing.capped_weights(docs, 0.4)
     rows = mixing.schedule(docs, weights, block_docs=2).collect()
