@@ -85,7 +85,52 @@ def test_top_rows_beyond_the_group_limit_threshold(spark, monkeypatch):
         ]
 
 
-def test_the_number_of_buckets_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "MAX_BUCKETS", 5)
-    df = spark.range(1000)
-    assert len(split_points(df, "id", 10)) == 4
+def test_a_bucket_splits_until_it_is_small(spark):
+    # Two values per cut: the first round leaves halves, which split again and again.
+    df = spark.range(2000)
+    points = split_points(df, "id", 100, fanout=2)
+    sizes = [row["count"] for row in with_bucket(df, "id", points).groupBy("__bucket").count().collect()]
+    assert len(points) >= 9 and max(sizes) <= 200 and sum(sizes) == 2000
+
+
+def test_more_buckets_than_one_round_makes(spark):
+    df = spark.range(3000).selectExpr("id * id * id as id")
+    points = split_points(df, "id", 20, fanout=10)
+    sizes = [row["count"] for row in with_bucket(df, "id", points).groupBy("__bucket").count().collect()]
+    assert len(points) > 60 and max(sizes) <= 40 and sum(sizes) == 3000
+
+
+@pytest.mark.parametrize("fanout", [2, 1000])
+def test_a_repeated_value_gets_a_bucket_to_itself(spark, fanout):
+    data = [i // 4 for i in range(400)] + [37] * 900 + [-5] * 300 + [10**6] * 250
+    df = spark.createDataFrame([(v,) for v in data], "v bigint").repartition(4)
+    points = split_points(df, "v", 50, fanout)
+    held = with_bucket(df, "v", points).groupBy("__bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+    )
+    for row in held.collect():
+        if row["n"] > 100:
+            assert row["low"] == row["high"]
+            assert ranking.is_single(df, "v", points, int(row["__bucket"]))
+
+
+def test_split_points_of_few_rows_and_of_one_value(spark):
+    assert split_points(spark.range(0), "id", 10) == []
+    assert split_points(spark.range(10), "id", 10) == []
+    one = spark.range(500).selectExpr("7L as id")
+    points = split_points(one, "id", 10)
+    assert ranking.is_single(one, "id", points, points.index(7.0) + 1)
+    far = spark.range(500).selectExpr("id + (1L << 60) as id")
+    points = split_points(far, "id", 10)
+    assert not any(ranking.is_single(far, "id", points, b) for b in range(len(points) + 1))
+
+
+@pytest.mark.parametrize("per_bucket", [20, 10**6])
+def test_running_max_with_repeated_places(spark, per_bucket):
+    rng = random.Random(11)
+    data = [(rng.choice("ab"), rng.choice([40, 40, rng.randrange(80)]), rng.randrange(1000)) for _ in range(600)]
+    df = spark.createDataFrame(data, "g string, at bigint, v int").repartition(4)
+    found = running_max(df, ["g"], "at", "v", "m", per_bucket).collect()
+    assert len(found) == len(data)
+    for row in found:
+        assert row["m"] == max(v for g, at, v in data if g == row["g"] and at <= row["at"])

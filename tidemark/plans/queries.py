@@ -24,7 +24,7 @@ from tidemark.operators import (
     windows,
 )
 from tidemark.schema import DAY_MS, MONITORED_CAPACITY, STREAM, STREAM_CONFIG, TOP_LIST_CAPACITY
-from tidemark.session import fresh_folder, tune
+from tidemark.session import fresh_folder, tune, written
 from tidemark.sources import export, records, tables
 from tidemark.sources.rollup import RollUps
 from tidemark.sources.store import WindowStore
@@ -488,7 +488,8 @@ def cms_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cms_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = frequency.key_counts(_ranged(spark, sf_dir))
+    # Written, since both the keys and the cells come from it: the log is counted once.
+    counts = written(frequency.key_counts(_ranged(spark, sf_dir)), "counts")
     merged = countmin.merge(_cells(counts))
     return countmin.estimate(counts, merged, SKETCH_DEPTH, SKETCH_WIDTH)
 
