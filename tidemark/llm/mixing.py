@@ -281,8 +281,10 @@ def _scheduled(docs: DataFrame, weights: dict[str, float], source: str, block_do
     blocks = {s: -(-n // block_docs) for s, n in counts.items()}
     slots = block_slots(spark, whole_parts(weights) if weights else {}, blocks)
     limited = sized_join(numbered, spark.createDataFrame(limits, "source string, limit long"), ["source"], "inner")
-    # A block has a few documents, so no key is hot.
-    placed = limited.withColumn("block", F.floor(F.col("place") / block_docs).cast("long")).join(slots, ["source", "block"])
+    # A block has a few documents, so no key is hot. The slots grow with the documents, which Spark cannot tell from a
+    # range of segments, so they are kept from being broadcast.
+    blocked = limited.withColumn("block", F.floor(F.col("place") / block_docs).cast("long"))
+    placed = blocked.join(slots.hint("merge"), ["source", "block"])
     return placed.select(
         "id", "h", "source", "block", "release", "deadline", "slot", (F.col("place") < F.col("limit")).alias("in_mix")
     )
