@@ -58,6 +58,24 @@ def test_running_max_equals_a_loop(spark, per_bucket):
     assert len(found) == len(data)
 
 
+def test_many_buckets_are_neither_broadcast_nor_repeated(spark, monkeypatch):
+    # Half of the rows share one place, which is run in parts.
+    for module in ("joins", "ranking"):
+        monkeypatch.setattr(f"tidemark.operators.{module}.is_small", lambda *args: False, raising=False)
+    rng = random.Random(13)
+    data = [(rng.choice("ab"), rng.choice([40, rng.randrange(80)]), rng.randrange(1000)) for _ in range(600)]
+    df = spark.createDataFrame(data, "g string, at bigint, v int").repartition(4)
+    largest = running_max(df, ["g"], "at", "v", "m", 20)
+    text = largest._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in text
+    # Both sides of the join, and nothing again for the windows.
+    assert text.count("Exchange hashpartitioning") == 2
+    found = largest.collect()
+    assert len(found) == len(data)
+    for row in found:
+        assert row["m"] == max(v for g, at, v in data if g == row["g"] and at <= row["at"])
+
+
 def test_arrival_windows_do_not_depend_on_the_buckets(spark):
     from tests.helpers import records
 

@@ -43,4 +43,5 @@ def sized_join(
     salted = large.withColumn("__salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)))
     every_salt = F.array(*[F.lit(salt).cast("long") for salt in range(salts)])
     repeated = small.withColumn("__salt", F.explode(every_salt))
-    return salted.join(repeated, [*on, "__salt"], how).drop("__salt")
+    # Spark sizes a file before its rows are repeated, and would broadcast what has just been counted as too many.
+    return salted.join(repeated.hint("merge"), [*on, "__salt"], how).drop("__salt")

@@ -8,7 +8,7 @@ from math import ceil, floor, inf, nextafter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.joins import sized_join
+from tidemark.operators.joins import SALTS, is_small
 from tidemark.session import written
 
 ROWS_PER_BUCKET = 4_000_000
@@ -235,10 +235,19 @@ def running_max(
     # That maximum is their result, whatever part of the bucket they are in.
     hashable = [F.col(f"`{field.name}`") for field in df.schema if field.dataType.typeName() != "map"]
     part = F.when(tied, F.pmod(F.xxhash64(*hashable), F.lit(TIED_PARTS))).otherwise(0)
-    within = Window.partitionBy(*slices, "__part").orderBy(order).rangeBetween(*SO_FAR)
+    parted = bucketed.withColumn("__part", part).withColumn("__salt", F.col("__part") % SALTS)
+    on = slices
+    if is_small(carried):
+        carried = F.broadcast(carried)
+    else:
+        # Only buckets that are run in parts meet their maximum more than once. The rows stay where the join put them,
+        # since the window's groups lie within its keys; the hint keeps Spark from broadcasting one row per bucket.
+        salts = [F.array(*[F.lit(salt).cast("long") for salt in range(count)]) for count in (SALTS, 1)]
+        carried = carried.withColumn("__salt", F.explode(F.when(tied, salts[0]).otherwise(salts[1]))).hint("merge")
+        on = [*slices, "__salt"]
+    within = Window.partitionBy(*slices, "__salt", "__part").orderBy(order).rangeBetween(*SO_FAR)
     return (
-        sized_join(bucketed, carried, slices)
-        .withColumn("__part", part)
+        parted.join(carried, on, "left")
         .withColumn(result, F.greatest(F.max(value).over(within), F.col("__carried")))
-        .drop("__bucket", "__carried", "__part")
+        .drop("__bucket", "__carried", "__part", "__salt")
     )
