@@ -851,12 +851,17 @@ def stream_label_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _in_batches(spark: SparkSession, rec: DataFrame, batch: Column) -> DataFrame:
-    """Rows as a stream that brings ``batch`` 0 to ``STREAM_BATCHES`` - 1 one after another."""
-    path = fresh_folder(spark, "batches")
-    numbered = rec.withColumn("batch", batch)
+    """Rows as a stream that brings ``batch`` 0 to ``STREAM_BATCHES`` - 1 one after another.
+
+    The rows are written once, by all tasks, and the stream is of batch numbers, each of which brings its rows.
+    """
+    path, numbers = fresh_folder(spark, "batches"), fresh_folder(spark, "batch-numbers")
+    rec.withColumn("batch", batch).write.partitionBy("batch").parquet(path)
     for number in range(STREAM_BATCHES):
-        numbered.filter(F.col("batch") == number).drop("batch").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rec.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        spark.range(number, number + 1, 1, 1).select(F.col("id").cast("int").alias("batch")).write.mode("append").parquet(numbers)
+    placed = spark.read.schema(rec.withColumn("batch", batch).schema).parquet(path)
+    turn = spark.readStream.schema("batch int").option("maxFilesPerTrigger", 1).parquet(numbers)
+    return placed.join(F.broadcast(turn), "batch").select(*rec.columns)
 
 
 def _late_batch(rec: DataFrame) -> Column:
