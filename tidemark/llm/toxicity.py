@@ -36,6 +36,8 @@ BEGINNINGS = (4, 5, 6, 7, 8, 9)
 EVIDENCE = 25.0
 RATIO = 8.0
 THRESHOLD = 0.7
+#: Texts worked on together; a worker's arrays are some sixty times that.
+SLICE_BYTES = 1 << 19
 _KINDS = 1 + len(BEGINNINGS)
 
 _LETTERS = np.zeros(256, bool)
@@ -80,7 +82,7 @@ def _owners(words: Words) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many toxic and other documents hold each feature, summed per batch."""
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE_BYTES):
         words = _tokens(batch.column("text"))
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
         owner = _owners(words)
@@ -199,7 +201,7 @@ def held_out(column: str = "doc_id") -> Column:
 
 def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Two hashes that near copies mostly share: the least of their word 5-grams, in two orders."""
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE_BYTES):
         words = _tokens(batch.column("text"))
         hashes, counts = words.hashes(), words.counts
         keys = []
@@ -258,7 +260,7 @@ def _lexicon(training: DataFrame) -> np.ndarray:
 def _chain_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """Chains with matches, with what the field needs of each."""
     base = len(model.lexicon)
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE_BYTES):
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
         first, length, document, triples = model.chains(_tokens(batch.column("text")))
         row, place, feature = (np.concatenate(x) for x in zip(*triples[:-1]))
@@ -274,7 +276,7 @@ def _chain_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.
 
 
 def _odds(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE_BYTES):
         odds, _, _ = model.tag(_tokens(batch.column("text")))
         yield pa.RecordBatch.from_arrays([pa.array(odds), batch.column("toxic")], names=["odds", "toxic"])
 
@@ -334,7 +336,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, chains: int
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE_BYTES):
         words = _tokens(batch.column("text"))
         odds, token, _ = model.tag(words)
         score = model.score(odds)
@@ -374,11 +376,14 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, mod
     return keyed.mapInArrow(lambda it: _scored(it, model, threshold), RESULT)
 
 
-def _fine(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        odds, _, _ = model.tag(_tokens(batch.column("text")))
+def _fine(
+    batches: Iterator[pa.RecordBatch], model: Model, threshold: float, text: str, width: int
+) -> Iterator[pa.RecordBatch]:
+    """The first ``width`` columns of the rows whose column ``text`` scores below the threshold."""
+    for batch in slices(batches, text, SLICE_BYTES):
+        odds, _, _ = model.tag(_tokens(batch.column(text)))
         kept = batch.filter(pa.array(model.score(odds) < threshold))
-        yield kept.select(batch.schema.names[:-1])
+        yield kept.select(batch.schema.names[:width])
 
 
 def keep_fine(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -390,6 +395,12 @@ def keep_fine(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
     prepare(docs.sparkSession)
     # By place, since workers take no names with dots.
     places = [str(i) for i in range(len(docs.columns))]
-    numbered = docs.withColumn(free_names(docs, "text_")[0], whole_text()).toDF(*places, "text")
-    kept = numbered.mapInArrow(lambda it: _fine(it, model, threshold), numbered.drop("text").schema)
+    # Texts go to a worker once: nulls among them count as empty there.
+    texts = [place for place, (name, kind) in zip(places, docs.dtypes) if (name.lower(), kind) == ("text", "string")]
+    if len(texts) == 1:
+        numbered, text = docs.toDF(*places), texts[0]
+    else:
+        text = "text"
+        numbered = docs.withColumn(free_names(docs, "text_")[0], whole_text()).toDF(*places, text)
+    kept = numbered.mapInArrow(lambda it: _fine(it, model, threshold, text, len(places)), numbered.select(*places).schema)
     return kept.toDF(*docs.columns)
