@@ -30,11 +30,15 @@ RANGES_PER_PARTITION = 4
 SEGMENT_TOKENS = 1 << 18
 #: Texts encoded together; the more there are, the fewer pieces are looked up twice.
 SLICE_BYTES = 4 << 20
+#: The same where workers have little memory: more pieces are looked up twice.
+SMALL_SLICE_BYTES = 1 << 20
 SEGMENTS = "range int, segment int, first long, tokens long, data binary"
 ROWS = "doc_id long, range int, place long, n_tokens long, ids_crc32 long"
 
 
-def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int, percentile: int) -> Iterator[pa.RecordBatch]:
+def _segments(
+    batches: Iterator[pa.RecordBatch], path: str, end_id: int, percentile: int, slice_bytes: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
     codes = encoder(path)
     schema = pa.schema(
         [("range", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("tokens", pa.int64()), ("data", pa.binary())]
@@ -50,7 +54,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int, percent
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
             segment, first, held = segment + 1, first + len(ids), []
 
-    for batch in slices(batches, "text", SLICE_BYTES):
+    for batch in slices(batches, "text", slice_bytes):
         numbers = batch.column("range").to_numpy()
         for a, b in zip(*_edges(numbers)):
             if numbers[a] != current:
@@ -100,10 +104,12 @@ def write_tokens(
     end_id: int = END_ID,
     percentile: int = PERCENTILE,
     order: str | None = None,
+    slice_bytes: int = SLICE_BYTES,
 ) -> None:
     """Write the ids of every text, each followed by ``end_id``, to ``folder`` in ``doc_id`` order.
 
-    ``order`` names a column of whole numbers that goes before ``doc_id``; nulls in it come first.
+    ``order`` names a column of whole numbers that goes before ``doc_id``; nulls in it come first. A worker encodes about
+    ``slice_bytes`` of text at once.
 
     ``tokenizer`` is the path of a tokenizer file that every worker can read. Null texts are empty and so
     just an end id; a null ``doc_id`` comes first; rows with one ``doc_id`` follow each other by text.
@@ -115,7 +121,7 @@ def write_tokens(
     points = split_ids(docs.select(rank), "rank", RANGES_PER_PARTITION * count)
     keyed = with_range(docs.select(rank, id_key().alias("id"), whole_text().alias("text")), "rank", points, "range")
     keyed.repartition(count, "range").sortWithinPartitions("range", "rank", "id", "text").mapInArrow(
-        lambda it: _segments(it, tokenizer, end_id, percentile), SEGMENTS
+        lambda it: _segments(it, tokenizer, end_id, percentile, slice_bytes), SEGMENTS
     ).write.parquet(folder)
 
 
@@ -139,9 +145,11 @@ def read_tokens(spark, folder: str) -> DataFrame:
     )
 
 
-def token_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, order: str | None = None) -> DataFrame:
+def token_ids(
+    docs: DataFrame, tokenizer: str, folder: str | None = None, order: str | None = None, slice_bytes: int = SLICE_BYTES
+) -> DataFrame:
     """Write the ids of ``docs`` to a new folder and return what reading the files back gives."""
     spark = docs.sparkSession
     folder = folder or fresh_folder(spark, "tokens")
-    write_tokens(docs, tokenizer, folder, order=order)
+    write_tokens(docs, tokenizer, folder, order=order, slice_bytes=slice_bytes)
     return read_tokens(spark, folder)
